@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, quality, sharding
+from siltstone.llm import chat_format, html_extract, language, packing, quality, sharding
 from siltstone.llm._common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of all formatted conversations and of one that tries to break the template."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -62,5 +67,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {"op3_chat_format": op3_chat_format, "op5_sharding": op5_sharding, "op7_quality": op7_quality}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a quarter of them is held out of training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out(F.col("doc_id")).alias("held_out"))
+    field = language.fit(docs.where(~F.col("held_out")))
+    return language.predict(docs, field, keep=["doc_id", "held_out"])
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_chat_format": op3_chat_format, "op5_sharding": op5_sharding, "op7_quality": op7_quality, "op8_language": op8_language, "op9_html": op9_html}
 ORACLES = {"op3_chat_format": OP3_SQL}
