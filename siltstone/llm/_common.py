@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,14 @@ def unstash(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def python_ready(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, beside any place where they have it themselves."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text (maximal runs without white space); of a null text: empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), "")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import free_name
+from siltstone.llm._common import free_name, python_ready
 
 #: A class is valid on a host with this many pages at least, if its tokens occur on this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.6
@@ -232,6 +232,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
     h = free_name(pages.columns, "host")
     body = F.coalesce(F.col(source), F.lit(""))
     rows = pages.select(host.alias("host"), F.coalesce(F.col(page_id).cast("string"), F.lit("")).alias("page"), body.alias("source"))
+    python_ready(pages.sparkSession)
     found = templates(rows.where(F.col("host") != ""))
     wide = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias(h), body.alias("the page to read"))
     joined = wide.join(found.withColumnRenamed("host", h), h, "left").select(*[F.col(f"`{c}`") for c in keep], "the page to read", "template")

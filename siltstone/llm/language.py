@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm._common import python_ready
+
 #: log2 of the weights' rows; words that a worker remembers; bytes of text decoded at a time.
 BUCKET_BITS, REMEMBERED, SLICE_BYTES = 17, 600_000, 6 << 20
 UNKNOWN = "und"
@@ -261,6 +263,7 @@ def predict(df: DataFrame, field: Field, text: str = "text", keep: list[str] | N
     empty table gives no row.
     """
     keep = [c for c in (keep or df.columns) if c.lower() not in ("lang_pred", "score")]
+    python_ready(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(field)  # bounded: buckets x labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

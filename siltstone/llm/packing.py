@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import free_name, stash
+from siltstone.llm._common import free_name, python_ready, stash
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text tokenised at a time, and words whose ids a worker remembers.
@@ -130,6 +130,7 @@ def tokenize(docs: DataFrame, capacity: int, tokenizer: str, doc_id: str = "doc_
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
+    python_ready(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"`{doc_id}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select(doc_id, text).mapInArrow(run, schema)

@@ -139,11 +139,13 @@ def thresholds(counted: DataFrame, rules: Rules, lang: str = "lang", source: str
 
     group = stash(merged(parts, ["g_lang", "g_source"], ""), "sketches")
     lang_level = merged(group, ["g_lang"], "_l")
-    corpus = merged(group, [], "_c")
-    levels = group.join(lang_level, group["g_lang"].eqNullSafe(lang_level["g_lang"])).drop(lang_level["g_lang"]).crossJoin(F.broadcast(corpus))
+    corpus = merged(group, [], "_c").first()  # one row of sketches, bounded by rules.sketch_k
+    levels = group.join(lang_level, group["g_lang"].eqNullSafe(lang_level["g_lang"])).drop(lang_level["g_lang"])
 
-    def level(x: str) -> Column:
-        return F.when(F.col("n") >= rules.least, F.col(x)).when(F.col("n_l") >= rules.least, F.col(f"{x}_l")).otherwise(F.col(f"{x}_c"))
+    def level(m: str) -> Column:
+        whole = corpus[f"{m}_c"]
+        last = F.lit(None).cast("binary") if whole is None else F.lit(bytes(whole))
+        return F.when(F.col("n") >= rules.least, F.col(m)).when(F.col("n_l") >= rules.least, F.col(f"{m}_l")).otherwise(last)
 
     out = levels.select("g_lang", "g_source", *[level(m).alias(m) for m in names])
     cols = []

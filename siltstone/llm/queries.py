@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, html_extract, language, packing, quality, sharding
+from siltstone.llm import chat_format, decontaminate, html_extract, language, line_dedup, packing, quality, sharding
 from siltstone.llm._common import table
 
 
@@ -14,6 +14,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of all formatted conversations and of one that tries to break the template."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -48,6 +53,12 @@ SELECT conv_id, count(*) AS n_turns,
 FROM pieces GROUP BY conv_id"""
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of all documents with its group, and whether it stays."""
+    rows = line_dedup.groups(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("d").alias("doc_id"), F.col("p").alias("line"), F.col("g").alias("group_id"), "kept")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     rows = table(spark, sf_dir, "documents").select(
@@ -79,5 +90,5 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_chat_format": op3_chat_format, "op5_sharding": op5_sharding, "op7_quality": op7_quality, "op8_language": op8_language, "op9_html": op9_html}
+QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_chat_format": op3_chat_format, "op4_line_dedup": op4_line_dedup, "op5_sharding": op5_sharding, "op7_quality": op7_quality, "op8_language": op8_language, "op9_html": op9_html}
 ORACLES = {"op3_chat_format": OP3_SQL}
