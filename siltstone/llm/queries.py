@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, decontaminate, html_extract, language, line_dedup, packing, quality, sharding
+from siltstone.llm import chat_format, decontaminate, html_extract, jaccard_join, language, line_dedup, packing, quality, sharding, suffix_dedup
 from siltstone.llm._common import table
 
 
@@ -70,6 +70,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without byte strings that also start earlier."""
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -90,5 +95,10 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_chat_format": op3_chat_format, "op4_line_dedup": op4_line_dedup, "op5_sharding": op5_sharding, "op7_quality": op7_quality, "op8_language": op8_language, "op9_html": op9_html}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_chat_format": op3_chat_format, "op4_line_dedup": op4_line_dedup, "op5_sharding": op5_sharding, "op6_suffix_dedup": op6_suffix_dedup, "op7_quality": op7_quality, "op8_language": op8_language, "op9_html": op9_html, "op10_jaccard_join": op10_jaccard_join}
 ORACLES = {"op3_chat_format": OP3_SQL}
