@@ -10,7 +10,8 @@ points within the radius are linked to it and need no comparison among themselve
 only connection counts; a point outside can be linked to one inside only if their
 distances to the pivot differ by at most the radius (triangle inequality), so the inner
 points of that window are replicated to the rest, and the rest is joined recursively
-with new pivots until no region is left. Small regions give all their pairs at once.
+with new pivots until all points of a region are known to be connected or a single one
+is left. Small regions give all their pairs at once.
 
 How often shingles occur (over all documents; each task keeps its most frequent ones)
 only decides the order, so it is never the reason for a missed pair.
@@ -168,26 +169,33 @@ def _links(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.nd
     pairs = small.select("t", F.col("x").alias("a"), F.col("n").alias("na")).join(mates, "t").where((F.col("a") < F.col("b")) & near("na", "nb"))
     measured = stash(_measure(pairs, shingles, percent), "measured")
     links = measured.where(100 * F.col("both") >= percent * F.col("all")).select("a", "b")
-    region = stash(regions.where(F.col("m") > LEAF).select("t", "x", "n", F.lit(False).alias("linked")), "region")
+    none = F.lit(None).cast("long")
+    region = stash(regions.where(F.col("m") > LEAF).select("t", "x", none.alias("color")), "region")
     radius = (100 - percent) / 100 + 1e-9
     while region.limit(1).count():
         _release(spark)
-        pivots = region.where(~F.col("linked")).groupBy("t").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x")).alias("p")).select("t", F.col("p.x").alias("a"))
+        first = F.min(F.struct(F.col("color").isNotNull().alias("c"), F.xxhash64("x").alias("h"), "x", F.col("color").alias("own")))
+        pivots = region.groupBy("t").agg(first.alias("p")).select("t", F.col("p.x").alias("a"), F.col("p.own").alias("own"))
         met = region.join(pivots, "t").where(F.col("x") != F.col("a"))
         measured = stash(_measure(met.select("a", F.col("x").alias("b")), shingles, percent), "measured")
-        links = links.unionByName(measured.where(100 * F.col("both") >= percent * F.col("all")).select("a", "b"))
-        told = measured.select(
-            "a", F.col("b").alias("x"), (1 - F.col("both") / F.col("all")).alias("d"), (100 * F.col("both") >= percent * F.col("all")).alias("now")
-        )
-        after = stash(met.join(told, ["a", "x"]).select("t", "x", "n", (F.col("linked") | F.col("now")).alias("linked"), "d"), "after")
-        left = after.where(~F.col("linked")).groupBy("t").agg(
-            F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("rest")
-        )
+        linked = 100 * F.col("both") >= percent * F.col("all")
+        links = links.unionByName(measured.where(linked).select("a", "b"))
+        told = measured.select("a", F.col("b").alias("x"), (1 - F.col("both") / F.col("all")).alias("d"), linked.alias("now"))
+        after = stash(met.join(told, ["a", "x"]), "after")
+        # Points that the pivot links, and all points connected with one of them before, are of the pivot's color now.
+        merged = after.where(F.col("now") & F.col("color").isNotNull()).select("t", "color").distinct().withColumn("same", F.lit(True))
+        with_pivot = after.join(merged, ["t", "color"], "left")
+        mine = F.col("now") | F.coalesce("same", F.lit(False)) | F.coalesce(F.col("color") == F.col("own"), F.lit(False))
+        colored = stash(with_pivot.select("t", "x", "d", F.when(mine, F.col("a")).otherwise(F.col("color")).alias("color"), mine.alias("mine")), "colored")
+        other = ~F.col("mine")
+        left = colored.where(other).groupBy("t").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+        # Points of other colors go on, and with them those of the pivot's color that may be linked to one of them.
         window = F.col("d").between(F.col("low") - radius, F.col("high") + radius)
-        on = after.join(left, "t").where(~F.col("linked") | window).select("t", "x", "n", "linked")
-        new = stash(on, "region")
-        unstash(after)
-        unstash(region)
+        on = colored.join(left, "t").where(other | window).select("t", "x", "color")
+        shades = on.groupBy("t").agg(F.count_distinct("color").alias("s"), F.count(F.when(F.col("color").isNull(), 1)).alias("plain"))
+        new = stash(on.join(shades.where((F.col("plain") > 1) | (F.col("plain") + F.col("s") > 1)), "t").select("t", "x", "color"), "region")
+        for old in (after, colored, region):
+            unstash(old)
         region = new
     return stash(links.distinct(), "links")
 
