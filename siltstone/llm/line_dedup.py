@@ -1,18 +1,18 @@
 """Fuzzy deduplication of lines, in Spark expressions only.
 
 Lines are normalised (lower case, runs of anything but letters and digits become one
-space). Each gets a 64-bit SimHash of its words: a word's hash bits are spread into
-lanes of packed integers, so that one plain sum counts many bits, and sums are combined
-before the shuffle. Distinct lines are joined on blocks of fingerprint bits: of
-``radius + 2`` blocks, two fingerprints within the radius agree in two at least, so every
-pair of blocks is a key. Candidates are verified by Hamming distance and edit similarity.
-One occurrence of each connected group stays: the first by document and line.
-
-A small bucket (lines with one key) gives all its pairs. A large one is met by a pivot
-at a time: all its lines are compared with the pivot, those that it links are connected
-from then on; only lines that no pivot has linked, and linked ones near enough to them
-by the triangle inequality, go on to the next round. So a bucket of copies with small
-differences costs one comparison a line, and no link is lost.
+space). Each gets a 64-bit SimHash of its word pairs (single words would let the
+commonest words decide most bits): a pair's hash bits are spread into lanes of packed
+integers, so that one plain sum counts many bits, and sums are combined before the
+shuffle. Distinct lines are joined on blocks of fingerprint bits: of ``radius + 2``
+blocks, two fingerprints within the radius agree in two at least, so every pair of
+blocks is a key. Candidates are verified by Hamming distance and edit similarity. One
+occurrence of each connected group stays: the first by document and line.
+
+A bucket (lines with one key) of up to LEAF lines gives its pairs. A larger one is
+parted again: its remaining bits form ``radius + 1`` blocks, of which two fingerprints
+within the radius agree in one, and each block extends the key. So the work follows the
+number of lines, not its square, whatever the bucket, and no pair within the radius is lost.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from siltstone.llm._components import components
 
 #: Fingerprints within RADIUS bits whose lines' edit similarity is SIMILARITY at least are linked.
 RADIUS, SIMILARITY = 3, 0.9
-#: Buckets of up to LEAF lines give all pairs.
-LEAF = 8
+#: Buckets of up to LEAF lines give all pairs; so do those whose keys have all but LAST bits.
+LEAF, LAST = 16, 6
 _LANE = 21  # bits of a lane; three lanes fill a long
 _GROUPS = 22  # longs for 64 lanes
 _MOST_WORDS = 1 << 20
@@ -57,7 +57,8 @@ def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     split = lines.where(F.col("line") != "").select("d", "v", "p", F.xxhash64("line").alias("h"), F.split("line", " ").alias("w"))
     step = F.ceil(F.size("w") / F.lit(_MOST_WORDS)).cast("int")
     words = split.select("d", "v", "p", "h", F.when(step > 1, F.filter("w", lambda x, i: i % step == 0)).otherwise(F.col("w")).alias("w"))
-    hashed = words.select("d", "v", "p", "h", F.explode("w").alias("w")).select("d", "v", "p", "h", F.xxhash64("w").alias("x"))
+    pairs = F.transform("w", lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1)))
+    hashed = words.select("d", "v", "p", "h", F.explode(pairs).alias("x"))
     sums = hashed.groupBy("d", "v", "p").agg(
         F.first("h").alias("h"), F.count(F.lit(1)).alias("n"), *[F.sum(_packed(F.col("x"), g)).alias(f"s{g}") for g in range(_GROUPS)]
     )
@@ -69,15 +70,29 @@ def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return sums.select("d", "v", "p", "h", print_.alias("f"))
 
 
-def block_keys(f: Column, radius: int) -> Column:
-    """Array of a fingerprint's keys: the pairs of its radius + 2 blocks, each with the pair's number."""
-    edges = [64 * i // (radius + 2) for i in range(radius + 3)]
-    blocks = [F.shiftrightunsigned(f, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-    width = max(b - a for a, b in zip(edges, edges[1:]))
-    keys = []
-    for number, (i, j) in enumerate(combinations(range(radius + 2), 2)):
-        keys.append(F.shiftleft(F.lit(number).cast("long"), 2 * width).bitwiseOR(F.shiftleft(blocks[i], width)).bitwiseOR(blocks[j]))
-    return F.array(*keys)
+def _cut(x: Column, edges: list[int]) -> list[Column]:
+    """Bits of x between each two edges, counted from the lowest."""
+    return [F.shiftrightunsigned(x, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+
+
+def _join_bits(parts: list[tuple[Column, int]]) -> Column:
+    """Parts and their widths, packed into one long."""
+    out, at = F.lit(0).cast("long"), 0
+    for part, width in parts:
+        out, at = out.bitwiseOR(F.shiftleft(part, at)), at + width
+    return out
+
+
+def _keys(x: Column, width: int, blocks: int, chosen: int) -> tuple[Column, int]:
+    """Array of struct<k, rest>: the keys of each choice of blocks, and the bits that it leaves, with the most that any leaves."""
+    edges = [width * i // blocks for i in range(blocks + 1)]
+    parts = list(zip(_cut(x, edges), [b - a for a, b in zip(edges, edges[1:])]))
+    out, most = [], 0
+    for number, own in enumerate(combinations(range(blocks), chosen)):
+        rest = [parts[i] for i in range(blocks) if i not in own]
+        most = max(most, sum(w for _, w in rest))
+        out.append(F.struct(F.xxhash64(F.lit(number), *[parts[i][0] for i in own]).alias("k"), _join_bits(rest).alias("rest")))
+    return F.array(*out), most
 
 
 def bit_table(keys: DataFrame, column: str) -> DataFrame:
@@ -95,11 +110,33 @@ def maybe_in(rows: DataFrame, column: str, table: DataFrame) -> DataFrame:
     return tested.where(F.expr(f"shiftrightunsigned(bits, cast(shiftrightunsigned(xxhash64({column}), {64 - _FILTER_BITS}) & 63 as int)) & 1 = 1")).drop("slot", "bits")
 
 
-def _near(pairs: DataFrame, texts: DataFrame, radius: int, least: float) -> DataFrame:
-    """Pairs (a, b) with their Hamming distance and whether they are linked; texts: h, line."""
-    pairs = pairs.withColumn("distance", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))))
-    close = pairs.where(F.col("distance") <= radius).select("a", "b").distinct()
-    left = close.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a")
+def near_pairs(points: DataFrame, radius: int) -> DataFrame:
+    """All (a, b), a < b, of points (h, f) whose fingerprints differ in at most ``radius`` bits."""
+    keys, width = _keys(F.col("f"), 64, radius + 2, 2)
+    rows = points.select("h", "f", F.explode(keys).alias("key")).select("key.k", "h", "f", "key.rest")
+    found = None
+    while True:
+        sizes = stash(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "buckets")
+        members = stash(maybe_in(rows, "k", bit_table(sizes, "k")).join(sizes, "k"), "members")
+        unstash(sizes)
+        small = members if width <= LAST else members.where(F.col("n") <= LEAF)
+        mates = small.select("k", F.col("h").alias("b"), F.col("f").alias("fb"))
+        near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
+        pairs = small.select("k", F.col("h").alias("a"), F.col("f").alias("fa")).join(mates, "k").where((F.col("a") < F.col("b")) & near)
+        new = stash(pairs.select("a", "b").distinct(), "pairs")
+        found = new if found is None else found.unionByName(new)
+        big = members.where(F.col("n") > LEAF)
+        if width <= LAST or not big.limit(1).count():
+            return found.distinct()
+        keys, width = _keys(F.col("rest"), width, radius + 1, 1)
+        rows = big.select("h", "f", F.col("k").alias("above"), F.explode(keys).alias("key")).select(
+            F.xxhash64("above", "key.k").alias("k"), "h", "f", "key.rest"
+        )
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs whose lines' edit similarity is ``least`` or more; texts: h, line."""
+    left = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a")
     both = left.join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
     longest = F.greatest(F.char_length("la"), F.char_length("lb"))
     allowed = F.floor(longest * (1 - least) + 1e-9).cast("int")
@@ -114,50 +151,18 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
     """
     lines = stash(line_table(docs, doc_id, text), "lines")
     distinct = stash(lines.groupBy("h").agg(F.first("f").alias("f")), "distinct-lines")
-    keyed = distinct.select("h", "f", F.explode(block_keys(F.col("f"), radius)).alias("k"))
-    shared = stash(
-        keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("pivot")).where(F.col("n") > 1), "buckets"
-    )
-    members = stash(maybe_in(keyed, "k", bit_table(shared, "k")).join(shared, "k"), "members")
-    wanted = members.select("h").distinct()
+    pairs = stash(near_pairs(distinct, radius), "near-lines")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     raw = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(normalised(F.col("line")).alias("line")).select(F.xxhash64("line").alias("h"), "line")
     found = maybe_in(raw, "h", bit_table(wanted, "h")).join(wanted, "h", "left_semi")
     texts = stash(found.groupBy("h").agg(F.first("line").alias("line")), "texts")
-
-    small = members.where(F.col("n") <= LEAF)
-    mate = small.select("k", F.col("h").alias("b"), F.col("f").alias("fb"))
-    pairs = small.select("k", F.col("h").alias("a"), F.col("f").alias("fa")).join(mate, "k").where(F.col("a") < F.col("b"))
-    links = [stash(_near(pairs.select("a", "fa", "b", "fb"), texts, radius, least), "links")]
-    region = members.where(F.col("n") > LEAF).select("k", "h", "f", F.lit(False).alias("linked"))
-    region = stash(region, "region")
-    while region.limit(1).count():
-        region, new = _round(region, texts, radius, least)
-        links.append(new)
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
+    edges = _verified(pairs, texts, least)
     roots = components(edges).select(F.col("node").alias("h"), "root")
-    unstash(members)
     grouped = stash(lines.join(roots, "h", "left").select("d", "v", "p", "h", F.coalesce("root", "h").alias("g")), "grouped-lines")
     first = grouped.groupBy("g").agg(F.min(F.struct("d", "v", "p")).alias("first"))
     return grouped.join(first, "g").select("d", "v", "p", "h", "g", F.struct("d", "v", "p").eqNullSafe(F.col("first")).alias("kept"))
 
 
-def _round(region: DataFrame, texts: DataFrame, radius: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """One pivot for each bucket: the bucket rows that go on, and the links that were found."""
-    pivots = region.where(~F.col("linked")).groupBy("k").agg(F.min(F.struct("h", "f")).alias("p")).select("k", F.col("p.h").alias("a"), F.col("p.f").alias("fa"))
-    met = region.join(pivots, "k").where(F.col("h") != F.col("a"))
-    links = stash(_near(met.select("a", "fa", F.col("h").alias("b"), F.col("f").alias("fb")), texts, radius, least), "links")
-    told = links.select("a", F.col("b").alias("h"), F.lit(True).alias("now"))
-    after = met.join(told, ["a", "h"], "left").select(
-        "k", "h", "f", (F.col("linked") | F.coalesce("now", F.lit(False))).alias("linked"), F.bit_count(F.col("f").bitwiseXOR(F.col("fa"))).alias("distance")
-    )
-    after = stash(after, "region")
-    left = after.where(~F.col("linked")).groupBy("k").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
-    on = after.join(left, "k").where(~F.col("linked") | F.col("distance").between(F.col("low") - radius, F.col("high") + radius))
-    return stash(on.select("k", "h", "f", "linked"), "region"), links
-
-
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
     """docs with every line dropped that is not the first of its group; all columns stay, rows in any order.
 
