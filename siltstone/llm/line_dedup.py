@@ -9,10 +9,12 @@ blocks, two fingerprints within the radius agree in two at least, so every pair
 blocks is a key. Candidates are verified by Hamming distance and edit similarity. One
 occurrence of each connected group stays: the first by document and line.
 
-A bucket (lines with one key) of up to LEAF lines gives its pairs. A larger one is
-parted again: its remaining bits form ``radius + 1`` blocks, of which two fingerprints
+A bucket (lines with one key) of up to LEAF lines gives its pairs. All lines of a larger
+one are first compared with one of them: those that it links are connected, and go on only
+where a line that it does not link is near enough (triangle inequality). What goes on is
+parted again: the remaining bits form ``radius + 1`` blocks, of which two fingerprints
 within the radius agree in one, and each block extends the key. So the work follows the
-number of lines, not its square, whatever the bucket, and no pair within the radius is lost.
+number of lines, not its square, whatever the bucket, and no link is lost.
 """
 
 from __future__ import annotations
@@ -110,28 +112,65 @@ def maybe_in(rows: DataFrame, column: str, table: DataFrame) -> DataFrame:
     return tested.where(F.expr(f"shiftrightunsigned(bits, cast(shiftrightunsigned(xxhash64({column}), {64 - _FILTER_BITS}) & 63 as int)) & 1 = 1")).drop("slot", "bits")
 
 
-def near_pairs(points: DataFrame, radius: int) -> DataFrame:
-    """All (a, b), a < b, of points (h, f) whose fingerprints differ in at most ``radius`` bits."""
+def find_links(docs: DataFrame, text: str, points: DataFrame, radius: int, least: float) -> DataFrame:
+    """(a, b): links between points (h, f), enough of them to connect whatever is connected."""
     keys, width = _keys(F.col("f"), 64, radius + 2, 2)
-    rows = points.select("h", "f", F.explode(keys).alias("key")).select("key.k", "h", "f", "key.rest")
-    found = None
+    none = F.lit(None).cast("long")
+    rows = points.select("h", "f", F.explode(keys).alias("key")).select("key.k", "h", "f", "key.rest", none.alias("color"))
+    links = texts = None
     while True:
-        sizes = stash(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "buckets")
+        sizes = rows.groupBy("k").agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("color").alias("s"), F.count(F.when(F.col("color").isNull(), 1)).alias("plain")
+        )
+        sizes = sizes.where((F.col("n") > 1) & ((F.col("plain") > 1) | (F.col("plain") + F.col("s") > 1))).select("k", "n")
+        sizes = stash(sizes, "buckets")
         members = stash(maybe_in(rows, "k", bit_table(sizes, "k")).join(sizes, "k"), "members")
         unstash(sizes)
-        small = members if width <= LAST else members.where(F.col("n") <= LEAF)
-        mates = small.select("k", F.col("h").alias("b"), F.col("f").alias("fb"))
-        near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
-        pairs = small.select("k", F.col("h").alias("a"), F.col("f").alias("fa")).join(mates, "k").where((F.col("a") < F.col("b")) & near)
-        new = stash(pairs.select("a", "b").distinct(), "pairs")
-        found = new if found is None else found.unionByName(new)
-        big = members.where(F.col("n") > LEAF)
-        if width <= LAST or not big.limit(1).count():
-            return found.distinct()
+        last = width <= LAST
+        small = members if last else members.where(F.col("n") <= LEAF)
+        mates = small.select("k", F.col("h").alias("b"), F.col("f").alias("fb"), F.col("color").alias("cb"))
+        near = F.bit_count(F.col("f").bitwiseXOR(F.col("fb"))) <= radius
+        apart = F.col("color").isNull() | F.col("cb").isNull() | (F.col("color") != F.col("cb"))
+        pairs = small.join(mates, "k").where((F.col("h") < F.col("b")) & near & apart)
+        pairs = stash(pairs.select(F.col("h").alias("a"), "b").distinct(), "pairs")
+        big = members.where(F.lit(not last) & (F.col("n") > LEAF))
+        if texts is None:  # of all lines that will be compared, now or later
+            texts = _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(big.select("h")).distinct())
+        new = _verified(pairs, texts, least)
+        links = new if links is None else links.unionByName(new)
+        if not big.limit(1).count():
+            return links
+        first = F.min(F.struct(F.col("color").isNotNull().alias("c"), F.xxhash64("h").alias("x"), "h", "f", F.col("color").alias("own")))
+        pivots = big.groupBy("k").agg(first.alias("p")).select("k", F.col("p.h").alias("a"), F.col("p.f").alias("fa"), F.col("p.own").alias("own"))
+        met = big.join(pivots, "k").where(F.col("h") != F.col("a")).withColumn("d", F.bit_count(F.col("f").bitwiseXOR(F.col("fa"))))
+        asked = met.where(F.col("d") <= radius).select("a", F.col("h").alias("b")).distinct()
+        told = stash(_verified(asked, texts, least), "told")
+        links = links.unionByName(told)
+        after = met.join(told.select("a", F.col("b").alias("h"), F.lit(True).alias("now")), ["a", "h"], "left")
+        after = stash(after.withColumn("now", F.coalesce("now", F.lit(False))), "after")
+        # Lines that the pivot links, and all lines connected with one of them before, are of the pivot's color now.
+        merged = after.where(F.col("now") & F.col("color").isNotNull()).select("k", "color").distinct().withColumn("same", F.lit(True))
+        mine = F.col("now") | F.coalesce("same", F.lit(False)) | F.coalesce(F.col("color") == F.col("own"), F.lit(False))
+        colored = after.join(merged, ["k", "color"], "left").select(
+            "k", "h", "f", "rest", "d", F.when(mine, F.col("a")).otherwise(F.col("color")).alias("color"), mine.alias("mine")
+        )
+        colored = stash(colored, "colored")
+        left = colored.where(~F.col("mine")).groupBy("k").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+        window = F.col("d").between(F.col("low") - radius, F.col("high") + radius)
+        on = colored.join(left, "k").where(~F.col("mine") | window)
         keys, width = _keys(F.col("rest"), width, radius + 1, 1)
-        rows = big.select("h", "f", F.col("k").alias("above"), F.explode(keys).alias("key")).select(
-            F.xxhash64("above", "key.k").alias("k"), "h", "f", "key.rest"
+        rows = on.select("h", "f", "color", F.col("k").alias("above"), F.explode(keys).alias("key")).select(
+            F.xxhash64("above", "key.k").alias("k"), "h", "f", "key.rest", "color"
         )
+        unstash(after)
+
+
+def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(h, line) of the wanted hashes of lines."""
+    wanted = stash(wanted, "wanted")
+    raw = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(normalised(F.col("line")).alias("line"))
+    found = maybe_in(raw.select(F.xxhash64("line").alias("h"), "line"), "h", bit_table(wanted, "h")).join(wanted, "h", "left_semi")
+    return stash(found.groupBy("h").agg(F.first("line").alias("line")), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -151,12 +190,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
     """
     lines = stash(line_table(docs, doc_id, text), "lines")
     distinct = stash(lines.groupBy("h").agg(F.first("f").alias("f")), "distinct-lines")
-    pairs = stash(near_pairs(distinct, radius), "near-lines")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    raw = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(normalised(F.col("line")).alias("line")).select(F.xxhash64("line").alias("h"), "line")
-    found = maybe_in(raw, "h", bit_table(wanted, "h")).join(wanted, "h", "left_semi")
-    texts = stash(found.groupBy("h").agg(F.first("line").alias("line")), "texts")
-    edges = _verified(pairs, texts, least)
+    edges = find_links(docs, text, distinct, radius, least)
     roots = components(edges).select(F.col("node").alias("h"), "root")
     grouped = stash(lines.join(roots, "h", "left").select("d", "v", "p", "h", F.coalesce("root", "h").alias("g")), "grouped-lines")
     first = grouped.groupBy("g").agg(F.min(F.struct("d", "v", "p")).alias("first"))
