@@ -19,12 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where spark.checkpoint.dir is unset, as in tests on one machine: a folder of our own.
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='siltstone-')}")
+        root = _own[0]
     return root.rstrip("/")
 
 
