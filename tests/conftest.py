@@ -17,8 +17,8 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     from siltstone.session import local_session
 
-    session = local_session(cores=4, partitions=4, **{"spark.driver.memory": "3g"})
-    session.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('checkpoints')}")
+    folder = f"file://{tmp_path_factory.mktemp('checkpoints')}"
+    session = local_session(cores=4, partitions=4, **{"spark.driver.memory": "3g", "spark.checkpoint.dir": folder})
     session.sparkContext.setCheckpointDir(f"file://{tmp_path_factory.mktemp('rdd')}")
     return session
 
