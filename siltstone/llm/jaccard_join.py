@@ -9,12 +9,15 @@ Within a region, pivots are sets. All points are measured against the pivot, exa
 points within the radius are linked to it and need no comparison among themselves, as
 only connection counts; a point outside can be linked to one inside only if their
 distances to the pivot differ by at most the radius (triangle inequality), so the inner
-points of that window are replicated to the rest, and the rest is joined recursively
-with new pivots until all points of a region are known to be connected or a single one
-is left. Small regions give all their pairs at once.
-
-How often shingles occur (over all documents; each task keeps its most frequent ones)
-only decides the order, so it is never the reason for a missed pair.
+points of that window are replicated to the rest. What is not known to be connected then
+is joined recursively with new pivots (dense regions as they are, others in the regions of
+the next shingle that two points may share), until a region's points are all connected or few. Small regions give all
+their pairs at once.
+
+Rare and common shingles are told apart by counting, over all documents, the first ones
+in the order of their hashes: those that COMMON points or more have there come last in
+the order that decides (a bitmap of a fixed size remembers them; its false hits only
+shift the order, for all sets alike, so it is never the reason for a missed pair).
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ from pyspark.sql import functions as F
 from siltstone.llm import _shingles as S
 from siltstone.llm._common import python_ready, stash, unstash
 from siltstone.llm._components import components
+from siltstone.llm.line_dedup import bit_table, maybe_in
 from siltstone.llm.suffix_dedup import Bitmap, _release, bitmap
 
-#: Similarity in percent, words of a shingle, and points of a region that give all pairs.
-PERCENT, K, LEAF = 80, 5, 3
-#: Frequent shingles that a task reports, and that the order knows of.
-TASK_TOP, ORDER_TOP = 20_000, 1 << 17
+#: Similarity in percent, words of a shingle, points of a region that give all pairs, and points that make a shingle common.
+PERCENT, K, LEAF, COMMON = 80, 5, 64, 5
+#: A region goes on whole, with another pivot, while a pivot links at least this share of it anew; else it is parted.
+DENSE = 0.2
 
 
 def sets(texts: pa.Array, hasher: S.Hasher, k: int = K) -> Iterator[np.ndarray]:
@@ -57,128 +61,141 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 def _points(docs: DataFrame, k: int) -> DataFrame:
-    """Of each document (frame of id, t): (id, n, x), x null if it has no word; and rows (null, count, x) of frequent shingles."""
+    """Of each document (frame of id, t): (id, n, x): its number of shingles and its point, null if it has no word."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, tops = S.Hasher(), [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-        ids_type = None
+        hasher = S.Hasher()
         for batch in batches:
             for part in S.slices(batch, 1):
-                ids_type = part.column(0).type
                 own = list(sets(part.column(1), hasher, k))
                 xs = pa.array([point(s) if len(s) else None for s in own], pa.int64())
-                ns = pa.array([len(s) for s in own], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), ns, xs, pa.array([True] * len(own))], ["id", "n", "x", "doc"])
-                found, counts = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
-                many = counts > 1
-                keys = np.concatenate([tops[0], found[many]])
-                uniq, inverse = np.unique(keys, return_inverse=True)
-                total = np.bincount(inverse, np.concatenate([tops[1], counts[many]]), minlength=len(uniq)).astype(np.int64)
-                if len(uniq) > TASK_TOP:
-                    best = np.argpartition(-total, TASK_TOP)[:TASK_TOP]
-                    uniq, total = uniq[best], total[best]
-                tops = [uniq, total]
-        if ids_type is not None and len(tops[0]):
-            n = len(tops[0])
-            arrays = [pa.nulls(n, ids_type), pa.array(tops[1]), pa.array(tops[0].view(np.int64)), pa.array([False] * n)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "x", "doc"])
-
-    return docs.mapInArrow(run, f"id {kind}, n long, x long, doc boolean")
-
-
-def _regions(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.ndarray], open_: Bitmap | None) -> DataFrame:
-    """(t, x, n): the first shingles of each point, rarest first; with a bitmap, only shingles that it has."""
-    shared = docs.sparkSession.sparkContext.broadcast((order, open_))  # of a fixed size
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in own], pa.int64()), xs], ["id", "n", "x"])
+
+    return docs.mapInArrow(run, f"id {kind}, n long, x long")
+
+
+def _regions(docs: DataFrame, k: int, percent: int, common: Bitmap | None, open_: Bitmap | None) -> DataFrame:
+    """(t, x, n, i): the first shingles of each point and their places, common ones last; with ``open_``, only those that it has."""
+    shared = docs.sparkSession.sparkContext.broadcast((common, open_))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (names, ranks), maps = shared.value
-        hasher = S.Hasher()
+        late, maps = shared.value
+        hasher, seen = S.Hasher(), set()
         for batch in batches:
             for part in S.slices(batch, 1):
-                ts, xs, ns, seen = [], [], [], set()
+                ts, xs, ns, places = [], [], [], []
                 for own in sets(part.column(1), hasher, k):
                     if not len(own) or (x := point(own)) in seen:
                         continue
-                    seen.add(x)
-                    size = prefix_size(len(own), percent)
-                    if len(names):
-                        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-                        rank = np.where(names[at] == own, ranks[at], 0)
-                        own = own[np.argsort(rank, kind="stable")]
+                    if len(seen) < 1 << 19:  # copies that are met again later only cost rows
+                        seen.add(x)
                     n = len(own)
-                    first = own[:size]
+                    own = S.mixed(own)
+                    if late is not None:
+                        own = own[np.argsort(late.has(own), kind="stable")]
+                    first = own[: prefix_size(n, percent)]
+                    at = np.arange(len(first), dtype=np.int32)
                     if maps is not None:
-                        first = first[maps.has(S.mixed(first))]
+                        has = maps.has(first)
+                        first, at = first[has], at[has]
                     ts.append(first)
                     xs.append(np.full(len(first), x, np.int64))
                     ns.append(np.full(len(first), n, np.int32))
+                    places.append(at)
                 if ts:
-                    arrays = [pa.array(S.mixed(np.concatenate(ts)).view(np.int64)), pa.array(np.concatenate(xs)), pa.array(np.concatenate(ns))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["t", "x", "n"])
+                    arrays = [pa.array(np.concatenate(ts).view(np.int64)), pa.array(np.concatenate(xs)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(places))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["t", "x", "n", "i"])
 
-    return docs.mapInArrow(run, "t long, x long, n int")
+    return docs.mapInArrow(run, "t long, x long, n int, i int")
 
 
-def _sets_of(docs: DataFrame, k: int, wanted: Bitmap) -> DataFrame:
-    """(x, s): the shingles of points that are in the bitmap; once a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)  # of a fixed size
+def _sets_of(docs: DataFrame, k: int, common: Bitmap, wanted: Bitmap) -> DataFrame:
+    """(x, s): the shingles of points that are in the bitmap, in the order that decides; once a task."""
+    shared = docs.sparkSession.sparkContext.broadcast((common, wanted))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = S.Hasher(), set()
+        (late, maps), hasher, seen = shared.value, S.Hasher(), set()
         for batch in batches:
             for part in S.slices(batch, 1):
                 xs, ss = [], []
                 for own in sets(part.column(1), hasher, k):
-                    if not len(own) or (x := point(own)) in seen or not shared.value.has(np.array([x], np.int64).view(np.uint64))[0]:
+                    if not len(own) or (x := point(own)) in seen or not maps.has(np.array([x], np.int64).view(np.uint64))[0]:
                         continue
                     if len(seen) < 1 << 20:
                         seen.add(x)
+                    own = S.mixed(own)
                     xs.append(x)
-                    ss.append(own.view(np.int64))
+                    ss.append(own[np.argsort(late.has(own), kind="stable")].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ss, pa.list_(pa.int64()))], ["x", "s"])
 
     return docs.mapInArrow(run, "x long, s array<long>")
 
 
 def _measure(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) with ``both`` (shingles in common) and ``all`` (in either)."""
+    """Distinct pairs (a, b) with ``both`` (shingles in common) and ``all`` (in either); pairs is read twice."""
+    shingles = maybe_in(shingles, "x", bit_table(pairs.select(F.explode(F.array("a", "b")).alias("x")), "x"))
     left = pairs.select("a", "b").distinct().join(shingles.select(F.col("x").alias("b"), F.col("s").alias("sb")), "b")
     both = left.join(shingles.select(F.col("x").alias("a"), F.col("s").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", common.alias("both"), (F.size("sa") + F.size("sb") - common).alias("all"))
 
 
-def _links(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of small regions that sizes, places and colors leave.
+
+    Were the region's last shingle (their ``g``-th in common, at place i) followed by nothing but common ones, the two
+    would still have to share enough.
+    """
+    mates = rows.select("t", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("color").alias("cb"))
+    rest = F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib")) + (F.col("g") - 1)
+    near = (100 + percent) * rest >= percent * (F.col("n") + F.col("nb"))
+    apart = F.col("color").isNull() | F.col("cb").isNull() | (F.col("color") != F.col("cb"))
+    return rows.join(mates, "t").where((F.col("x") < F.col("b")) & near & apart).select(F.col("x").alias("a"), "b").distinct()
+
+
+def _links(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links between points, enough of them to connect whatever is connected."""
     spark = docs.sparkSession
-    counted = _regions(docs, k, percent, order, None).groupBy("t").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    often = _regions(docs, k, percent, None, None).groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= COMMON)
+    common = bitmap(often, "t")
+    _release(spark)
+    counted = _regions(docs, k, percent, common, None).groupBy("t").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     open_ = bitmap(counted.where(F.col("lo") < F.col("hi")).select("t"), "t")
     _release(spark)
-    members = stash(_regions(docs, k, percent, order, open_).distinct(), "members")
+    members = stash(_regions(docs, k, percent, common, open_).distinct(), "members")
     sizes = members.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
     regions = stash(members.join(sizes, "t"), "regions")
     unstash(members)
-    shingles = stash(_sets_of(docs, k, bitmap(regions.select("x"), "x")).dropDuplicates(["x"]), "sets")
-
-    def near(n: str, m: str):  # sizes alone rule out the rest
-        return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
-
-    small = regions.where(F.col("m") <= LEAF)
-    mates = small.select("t", F.col("x").alias("b"), F.col("n").alias("nb"))
-    pairs = small.select("t", F.col("x").alias("a"), F.col("n").alias("na")).join(mates, "t").where((F.col("a") < F.col("b")) & near("na", "nb"))
-    measured = stash(_measure(pairs, shingles, percent), "measured")
-    links = measured.where(100 * F.col("both") >= percent * F.col("all")).select("a", "b")
+    _release(spark)
     none = F.lit(None).cast("long")
-    region = stash(regions.where(F.col("m") > LEAF).select("t", "x", none.alias("color")), "region")
+    rows = regions.select("t", "x", "n", "i", F.lit(1).alias("g"), none.alias("color"))
+    links = shingles = None
     radius = (100 - percent) / 100 + 1e-9
-    while region.limit(1).count():
-        _release(spark)
+    linked = 100 * F.col("both") >= percent * F.col("all")
+    while True:
+        # Rows of regions of two points or more that aren't known to be connected yet.
+        sizes = rows.groupBy("t").agg(
+            F.count(F.lit(1)).alias("m"), F.count_distinct("color").alias("s"), F.count(F.when(F.col("color").isNull(), 1)).alias("plain")
+        )
+        sizes = sizes.where((F.col("m") > 1) & ((F.col("plain") > 1) | (F.col("plain") + F.col("s") > 1))).select("t", "m")
+        region = stash(rows.join(sizes, "t"), "region")
+        pairs = stash(_small_pairs(region.where(F.col("m") <= LEAF), percent), "pairs")
+        big = region.where(F.col("m") > LEAF).drop("m")
+        if shingles is None:  # only those that will be measured, now or later
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).unionByName(big.select("x"))
+            shingles = stash(_sets_of(docs, k, common, bitmap(wanted, "x")).dropDuplicates(["x"]), "sets")
+            _release(spark)
+        measured = stash(_measure(pairs, shingles, percent), "measured")
+        new = measured.where(linked).select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        if not big.limit(1).count():
+            break
         first = F.min(F.struct(F.col("color").isNotNull().alias("c"), F.xxhash64("x").alias("h"), "x", F.col("color").alias("own")))
-        pivots = region.groupBy("t").agg(first.alias("p")).select("t", F.col("p.x").alias("a"), F.col("p.own").alias("own"))
-        met = region.join(pivots, "t").where(F.col("x") != F.col("a"))
-        measured = stash(_measure(met.select("a", F.col("x").alias("b")), shingles, percent), "measured")
-        linked = 100 * F.col("both") >= percent * F.col("all")
+        pivots = big.groupBy("t").agg(first.alias("p")).select("t", F.col("p.x").alias("a"), F.col("p.own").alias("own"))
+        met = big.join(pivots, "t").where(F.col("x") != F.col("a"))
+        asked = stash(met.select("a", F.col("x").alias("b")).distinct(), "asked")
+        measured = stash(_measure(asked, shingles, percent), "measured")
         links = links.unionByName(measured.where(linked).select("a", "b"))
         told = measured.select("a", F.col("b").alias("x"), (1 - F.col("both") / F.col("all")).alias("d"), linked.alias("now"))
         after = stash(met.join(told, ["a", "x"]), "after")
@@ -186,17 +203,32 @@ def _links(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.nd
         merged = after.where(F.col("now") & F.col("color").isNotNull()).select("t", "color").distinct().withColumn("same", F.lit(True))
         with_pivot = after.join(merged, ["t", "color"], "left")
         mine = F.col("now") | F.coalesce("same", F.lit(False)) | F.coalesce(F.col("color") == F.col("own"), F.lit(False))
-        colored = stash(with_pivot.select("t", "x", "d", F.when(mine, F.col("a")).otherwise(F.col("color")).alias("color"), mine.alias("mine")), "colored")
+        color = F.when(mine, F.col("a")).otherwise(F.col("color"))
+        anew = F.col("now") & ~F.coalesce(F.col("color") == F.col("own"), F.lit(False))
+        colored = with_pivot.select("t", "x", "n", "i", "g", "d", color.alias("color"), mine.alias("mine"), anew.alias("anew"))
+        colored = stash(colored, "colored")
         other = ~F.col("mine")
-        left = colored.where(other).groupBy("t").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+        left = colored.groupBy("t").agg(
+            F.min(F.when(other, F.col("d"))).alias("low"), F.max(F.when(other, F.col("d"))).alias("high"),
+            (F.avg(F.col("anew").cast("double")) >= DENSE).alias("dense"),
+        ).where(F.col("low").isNotNull())
         # Points of other colors go on, and with them those of the pivot's color that may be linked to one of them.
         window = F.col("d").between(F.col("low") - radius, F.col("high") + radius)
-        on = colored.join(left, "t").where(other | window).select("t", "x", "color")
-        shades = on.groupBy("t").agg(F.count_distinct("color").alias("s"), F.count(F.when(F.col("color").isNull(), 1)).alias("plain"))
-        new = stash(on.join(shades.where((F.col("plain") > 1) | (F.col("plain") + F.col("s") > 1)), "t").select("t", "x", "color"), "region")
-        for old in (after, colored, region):
+        on = stash(colored.join(left, "t").where(other | window).select("t", "x", "n", "i", "g", "color", "dense"), "on")
+        # The next shingle that two of them share stands among the first that the misses so far leave.
+        parted = on.where(~F.col("dense"))
+        sets_on = maybe_in(shingles, "x", bit_table(parted.select("x"), "x"))
+        misses = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int")
+        last = F.least(misses + F.col("g"), F.col("n") - 1)
+        ahead = parted.where(F.col("i") < last).join(sets_on, "x").select(
+            "t", "x", "n", "g", "color", "s", F.explode(F.sequence(F.col("i") + 1, last)).alias("i")
+        )
+        rows = ahead.select(
+            F.xxhash64("t", F.get("s", F.col("i"))).alias("t"), "x", "n", F.col("i").cast("int").alias("i"), (F.col("g") + 1).alias("g"), "color"
+        ).unionByName(on.where("dense").drop("dense"))
+        for old in (after, colored, asked, region):
             unstash(old)
-        region = new
+        _release(spark)
     return stash(links.distinct(), "links")
 
 
@@ -212,16 +244,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     python_ready(spark)
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     points = stash(_points(base, k), "points")
-    frequent = points.where(~F.col("doc")).groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") > 2)
-    top = frequent.orderBy(F.col("n").desc(), "x").limit(ORDER_TOP).collect()  # a fixed number of rows
-    names = np.array([r["x"] for r in top], np.int64).view(np.uint64)
-    # Ranks by powers of two of the count: neighbours in frequency stay in the order of hashes, wherever they were counted.
-    ranks = np.array([int(r["n"]).bit_length() for r in top], np.int64)
-    place = np.argsort(names)
-    links = _links(base, k, percent, (names[place], ranks[place]))
+    links = _links(base, k, percent)
     roots = components(links).select(F.col("node").alias("x"), "root")
-    own = points.where("doc")
-    grouped = own.join(roots, "x", "left").select("id", "n", F.coalesce("root", "x").alias("g"))
+    grouped = points.join(roots, "x", "left").select("id", "n", F.coalesce("root", "x").alias("g"))
     least = grouped.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("id").alias("least"))
     return grouped.join(least, "g", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 

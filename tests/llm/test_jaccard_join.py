@@ -29,7 +29,7 @@ def brute(docs):
     return {d: (len(sets[i]), docs[find(i)][0]) for i, (d, _) in enumerate(docs)}
 
 
-def copies(n=90):
+def copies(n=9):
     """A chain of copies, each a little further from the first, a star of near copies, and documents that share a passage."""
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
@@ -48,7 +48,7 @@ def copies(n=90):
     return docs
 
 
-@pytest.mark.parametrize("leaf", [32, 2])
+@pytest.mark.parametrize("leaf", [64, 4])
 def test_agrees_with_all_pairs(spark, as_rows, monkeypatch, leaf):
     monkeypatch.setattr(J, "LEAF", leaf)
     docs = copies()
