@@ -27,11 +27,6 @@ def _exact(spark, sf_dir):
     return dedup.exact_duplicates(_docs(spark, sf_dir), "doc_id", "text")
 
 
-_GRAMS = f"""b AS (SELECT min(doc_id) AS id, t FROM (SELECT doc_id, {_NORM} AS t FROM documents) WHERE t <> '' GROUP BY t),
-  g AS (SELECT DISTINCT id, substr(t, i, 3) AS g FROM b, LATERAL (SELECT unnest(range(1, greatest(2, length(t) - 1))) AS i)),
-  n AS (SELECT id, count(*) AS n FROM g GROUP BY id)"""
-
-
 @query("near_dup_pairs")
 def _near(spark, sf_dir):
     """All pairs of 3-gram sets; tests hold it against brute force, as DuckDB needs minutes for it."""
