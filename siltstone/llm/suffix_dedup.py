@@ -18,15 +18,17 @@ with one continuation only is settled.
 Round 3. Single strings of the cells that are left.
 
 The first occurrence is by document, then by place, and is found by an aggregation with
-partial sums on the map side. Between rounds only a bitmap of open buckets, of a fixed
-size, goes to the workers; its false hits cost rows, never results.
+partial sums on the map side. What is found to be a repeat is settled and takes no part
+in later rounds: whatever equals it equals its first occurrence too. Between rounds only
+bitmaps of a fixed size go to the workers, of open buckets and of first occurrences;
+their false hits cost rows, never results.
 """
 
 from __future__ import annotations
 
 import gc
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,11 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import _shingles as S
 from siltstone.llm._common import python_ready, stash, unstash
+from siltstone.llm.line_dedup import bit_table, maybe_in
 
 SPAN, GRAM, CELL = 100, 32, 8
-#: log2 of the bits of a bitmap of buckets.
-BITS = 25
+#: log2 of the bits of a bitmap of buckets, and bytes of text handled at a time.
+BITS, SLICE_BYTES = 25, 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -113,11 +116,8 @@ class Slice:
         full = np.where(inside, full, full ^ np.uint64(0x5555555555555555))
         return core, full, first, last - first + 1, row[of]
 
-    def strings(self, keep: np.ndarray, open_cores: Callable[[np.ndarray], np.ndarray]):
-        """(id, id, start, 1) of the single strings of open cells."""
-        core, _, first, many, row = self.cells(keep)
-        ok = open_cores(core)
-        first, many, row = first[ok], many[ok], row[ok]
+    def strings(self, first: np.ndarray, many: np.ndarray, row: np.ndarray):
+        """(id, id, start, 1) of the single strings of cells."""
         start = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         ids = self.ids(start, start + self.span)
         return ids, ids, start, np.ones(len(start), np.int64), np.repeat(row, many)
@@ -144,36 +144,46 @@ def bitmap(ids: DataFrame, column: str) -> Bitmap:
 
 
 def _rows(docs: DataFrame, stage: int, maps: list[Bitmap]) -> DataFrame:
-    """Rows of a round: in round 0 (gram, n); later (core, full, d, p, n), where p holds a checksum of the text and the start."""
+    """Rows of a round: in round 0 (gram, n); later (core, full, d, p, n, o).
+
+    p holds a checksum of the text and the start, o identifies the occurrence. maps: open q-grams; then open buckets and
+    first occurrences of round 1, and of round 2.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(maps)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in S.slices(batch, 1):
+            for part in S.slices(batch, 1, SLICE_BYTES):
                 s = Slice(part.column(1))
                 grams = s.grams()
                 if stage == 0:
                     ids, n = np.unique(grams, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n)], ["core", "n"])
                     continue
-                keep = np.flatnonzero(shared.value[0].has(grams))
+                have = shared.value
+                keep = np.flatnonzero(have[0].has(grams) if stage == 1 else have[1].has(grams))
+                sums, docs_ = np.zeros(part.num_rows, np.int64), part.column(0).to_numpy(zero_copy_only=False)
+                for i in np.unique(s.row[keep]).tolist():
+                    sums[i] = zlib.crc32(s.data[s.bounds[i] : s.bounds[i + 1]]) >> 1
+
+                def occurrence(full, start, row):
+                    place = sums[row] << 32 | (start - s.bounds[row])
+                    return place, S.mixed(full + S.mixed(place.astype(np.uint64)) + docs_[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+                core, full, start, many, row = s.segments(keep)
+                place, o = occurrence(full, start, row)
                 if stage > 1:
-                    keep = keep[shared.value[1].has(grams[keep])]
-                if stage == 1:
-                    core, full, start, many, row = s.segments(keep)
-                elif stage == 2:
+                    keep = keep[have[2].has(o)]
                     core, full, start, many, row = s.cells(keep)
-                else:
-                    core, full, start, many, row = s.strings(keep, shared.value[2].has)
-                sums = np.zeros(part.num_rows, np.int64)
-                for i in np.unique(row).tolist():
-                    sums[i] = zlib.crc32(s.data[s.bounds[i] : s.bounds[i + 1]]) >> 1
-                place = sums[row] << 32 | (start - s.bounds[row])
-                ids = part.column(0).take(pa.array(row))
-                arrays = [pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), ids, pa.array(place), pa.array(many)]
-                yield pa.RecordBatch.from_arrays(arrays, ["core", "full", "d", "p", "n"])
+                    place, o = occurrence(full, start, row)
+                if stage > 2:
+                    ok = have[3].has(core) & have[4].has(o)
+                    core, full, start, many, row = s.strings(start[ok], many[ok], row[ok])
+                    place, o = occurrence(full, start, row)
+                columns = [core.view(np.int64), full.view(np.int64), docs_[row], place, many, o.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["core", "full", "d", "p", "n", "o"])
 
-    return docs.mapInArrow(run, "core long, n long" if stage == 0 else "core long, full long, d long, p long, n long")
+    return docs.mapInArrow(run, "core long, n long" if stage == 0 else "core long, full long, d long, p long, n long, o long")
 
 
 def _release(spark) -> None:
@@ -193,14 +203,16 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     for stage in (1, 2, 3):
         _release(spark)
         rows = stash(_rows(docs, stage, maps), f"round-{stage}")
-        firsts = rows.groupBy("core", "full").agg(F.min(F.struct("d", "p")).alias("first"), F.count(F.lit(1)).alias("m"))
+        firsts = rows.groupBy("core", "full").agg(F.min(F.struct("d", "p", "o")).alias("first"), F.count(F.lit(1)).alias("m"))
         firsts = stash(firsts, f"firsts-{stage}")
-        many = firsts.where(F.col("m") > 1).select(F.col("full").alias("id"), "first")
-        mine = rows.join(many, rows["full"] == many["id"]).where(F.struct("d", "p") != F.col("first"))
+        many = firsts.where(F.col("m") > 1).select(F.col("full").alias("id"), "first.d", "first.p").toDF("id", "d1", "p1")
+        repeat = (F.col("d") != F.col("d1")) | (F.col("p") != F.col("p1"))
+        mine = maybe_in(rows, "full", bit_table(many, "id")).join(many, F.col("full") == F.col("id")).where(repeat)
         found.append(stash(mine.select("d", "p", "n"), f"repeats-{stage}"))
         if stage < 3:
             split = firsts.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
             maps.append(bitmap(split, "core"))
+            maps.append(bitmap(firsts.join(split, "core").select("first.o"), "o"))
         unstash(rows)
         unstash(firsts)
     out = found[0].unionByName(found[1]).unionByName(found[2])
@@ -217,7 +229,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ordered by a checksum. Other columns are left out; an empty table gives no row. Strings are compared by 64-bit ids.
     """
     gone = repeats(docs, doc_id, text).groupBy("d", F.shiftright("p", 32).alias("v")).agg(
-        F.collect_list(F.struct(F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).alias("a"), "n")).alias("runs")
+        F.collect_list(F.shiftleft(F.col("p").bitwiseAND(F.lit((1 << 32) - 1)), 8).bitwiseOR(F.col("n"))).alias("runs")
     )
     gone = stash(gone, "gone")
     marked = bitmap(gone.select(F.xxhash64("d").alias("x")), "x")
@@ -238,23 +250,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, kept = [], []
-            for t, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw = t.encode()
-                merged: list[list[int]] = []
-                for a, n in sorted((r["a"], r["n"]) for r in runs or ()):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], a + n - 1 + SPAN)
-                    else:
-                        merged.append([a, a + n - 1 + SPAN])
-                spans.append([{"start": a, "end": b} for a, b in merged])
-                edges = [0, *(x for m in merged for x in m), len(raw)]
+            runs = batch.column(2)
+            bounds, values = np.asarray(runs.offsets), runs.values.to_numpy(zero_copy_only=False)
+            for i, t in enumerate(batch.column(1)):
+                raw = t.as_buffer()
+                own = np.sort(values[bounds[i] : bounds[i + 1]])
+                starts = own >> 8
+                ends = np.maximum.accumulate(starts + (own & 255) - 1 + SPAN) if len(own) else own
+                fresh = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]])) if len(own) else own
+                low, high = starts[fresh], ends[np.append(fresh[1:], len(own)) - 1] if len(own) else own
+                spans.append([{"start": a, "end": b} for a, b in zip(low.tolist(), high.tolist())])
+                edges = [0, *np.stack([low, high], axis=1).ravel().tolist(), len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
             of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, of), pa.array(kept, pa.binary())], [doc_id, "text", "spans", "kept"])
 
     shape = f"`{doc_id}` {kind}, text string, spans array<struct<start:long,end:long>>, kept binary"
     touched = part(True).withColumn("v", F.shiftright(F.crc32(F.encode("t", "UTF-8")), 1))
-    joined = touched.join(gone, ["d", "v"], "left").select("id", "t", "runs").mapInArrow(cut, shape)
+    joined = touched.join(gone, ["d", "v"], "left").select("id", "t", F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs")).mapInArrow(cut, shape)
     alone = part(False).select(
         F.col("id").alias(doc_id), F.col("t").alias("text"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.encode("t", "UTF-8").alias("kept")
     )
