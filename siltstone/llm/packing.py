@@ -17,6 +17,7 @@ and takes its place from the run that holds its rank.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -30,29 +31,66 @@ from siltstone.llm._common import free_name, python_ready, stash
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text tokenised at a time, and words whose ids a worker remembers.
-SLICE_BYTES, REMEMBERED = 2 << 20, 400_000
+SLICE_BYTES, REMEMBERED = 2 << 20, 600_000
 ROWS_A_SLICE = 250_000
 
 
 class WordTokenizer:
-    """Token ids of texts by way of their distinct words.
+    """Token ids of texts by way of their distinct words, and of the distinct pieces of words.
 
-    The tokenizer parts text at white space and drops it, so the ids of a text are those of its words in a row.
-    Texts are parted at space and newline only; other white space stays inside a "word" and is dropped by the tokenizer.
+    The tokenizer parts text at white space and drops it, so the ids of a text are those of its words in a row. Texts
+    are parted at space and newline only; other white space stays inside a "word" and is dropped by the tokenizer. Words
+    of plain characters are parted further, as the tokenizer does after lower case, so that "word", "Word" and "word,"
+    cost one encoding of "word"; all other words go to the tokenizer whole.
     """
 
+    #: Words whose lower case and parts are certain: ASCII without apostrophe, and Latin letters in composed form.
+    PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    shared: dict[str, WordTokenizer] = {}
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces: dict[str, list[int]] = {}
         self.forget()
 
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        """The process's tokenizer of a file: tasks that share a worker share what it remembers."""
+        if path not in cls.shared:
+            cls.shared[path] = cls(path)
+        return cls.shared[path]
+
     def forget(self) -> None:
         import numpy as np
 
         self.number: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.starts = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of words that aren't known yet."""
+        import numpy as np
+
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        plain, parts, pieces = self.PLAIN.fullmatch, self.PARTS.findall, self.pieces
+        split = [parts(w.lower()) if plain(w) and "<|" not in w else [w] for w in new]
+        unknown = list({p for own in split for p in own if p not in pieces})
+        if unknown:
+            coded = self.tokenizer.encode_batch(unknown, add_special_tokens=False)
+            pieces.update((p, e.ids) for p, e in zip(unknown, coded))
+        flat: list[int] = []
+        ends = []
+        for own in split:
+            for p in own:
+                flat += pieces[p]
+            ends.append(len(flat))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.array(ends, np.int64)])
+        self.flat = np.concatenate([self.flat, np.array(flat, self.flat.dtype if max(flat, default=0) < 1 << 16 else np.uint32)])
 
     def encode(self, texts: pa.Array):
         """Flat ids (uint32) of all texts and the number of ids of each; a null text has none."""
@@ -64,14 +102,12 @@ class WordTokenizer:
         parts = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), pattern="[ \n]+")
         coded = parts.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
-        new = [w for w in names if w not in self.number]
-        if new:
-            got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            base = len(self.number)
-            self.number.update(zip(new, range(base, base + len(new))))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in got])])
-            self.flat = np.concatenate([self.flat, *got])
-        index = np.fromiter((self.number[w] for w in names), np.int64, len(names))
+        known = self.number.get
+        index = np.array([known(w, -1) for w in names], np.int64)
+        fresh = np.flatnonzero(index < 0)
+        if len(fresh):
+            index[fresh] = np.arange(len(self.number), len(self.number) + len(fresh))
+            self._learn([names[i] for i in fresh.tolist()])
         at = index[coded.indices.to_numpy(zero_copy_only=False)]
         begin = self.starts[at]
         size = self.starts[at + 1] - begin
@@ -79,7 +115,7 @@ class WordTokenizer:
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(begin - (ends - size), size) + np.arange(total)] if total else np.zeros(0, np.uint32)
         before = np.concatenate([[0], ends])[np.asarray(parts.offsets)]
-        return ids, np.diff(before)
+        return ids.astype(np.uint32), np.diff(before)
 
 
 def _slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -104,9 +140,8 @@ def tokenize(docs: DataFrame, capacity: int, tokenizer: str, doc_id: str = "doc_
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
+        words = WordTokenizer.of(tokenizer)
         for batch in batches:
-            words = words or WordTokenizer(tokenizer)
             for part in _slices(batch, 1):
                 ids, sizes = words.encode(part.column(1))
                 rows, pieces, starts, lengths, sums, tokens = [], [], [], [], [], []
