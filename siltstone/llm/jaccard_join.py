@@ -12,7 +12,8 @@ distances to the pivot differ by at most the radius (triangle inequality), so th
 points of that window are replicated to the rest. What is not known to be connected then
 is joined recursively with new pivots (dense regions as they are, others in the regions of
 the next shingle that two points may share), until a region's points are all connected or few. Small regions give all
-their pairs at once.
+their pairs at once. Two points that share no next shingle are linked only if those of the region suffice for their
+sizes; then each is linked with the region's smallest point too, so these links are made before a region is parted.
 
 Rare and common shingles are told apart by counting, over all documents, the first ones
 in the order of their hashes: those that COMMON points or more have there come last in
@@ -191,6 +192,10 @@ def _links(docs: DataFrame, k: int, percent: int) -> DataFrame:
         links = new if links is None else links.unionByName(new)
         if not big.limit(1).count():
             break
+        # All points of a region share its g shingles. Two whose sizes ask for no more are linked, and both with the smallest.
+        smallest = big.groupBy("t").agg(F.min(F.struct("n", "x")).alias("p")).select("t", F.col("p.x").alias("a"), F.col("p.n").alias("na"))
+        enough = (F.col("x") != F.col("a")) & ((100 + percent) * F.col("g") >= percent * (F.col("n") + F.col("na")))
+        links = links.unionByName(stash(big.join(smallest, "t").where(enough).select("a", F.col("x").alias("b")).distinct(), "enough"))
         first = F.min(F.struct(F.col("color").isNotNull().alias("c"), F.xxhash64("x").alias("h"), "x", F.col("color").alias("own")))
         pivots = big.groupBy("t").agg(first.alias("p")).select("t", F.col("p.x").alias("a"), F.col("p.own").alias("own"))
         met = big.join(pivots, "t").where(F.col("x") != F.col("a"))

@@ -56,6 +56,16 @@ def test_agrees_with_all_pairs(spark, as_rows, monkeypatch, leaf):
     assert got == brute(docs)
 
 
+@pytest.mark.parametrize("hub", [10, 12])
+def test_hub_whose_variants_are_not_linked(spark, as_rows, hub):
+    base = " ".join(f"h{i}" for i in range(hub))
+    docs = [(0, base)] + [(1 + k, f"{base} v{k}" if k % 2 else f"v{k} {base}") for k in range(300)]
+    docs += [(1000 + k, f"v{k} {base} v{k}" + " u" * (k % 3)) for k in range(40)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in as_rows(J.join(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got == brute(docs)
+    assert sum(c == 0 for _, c in got.values()) > 300
+
+
 def test_documents(spark, sf, as_rows):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in as_rows(J.join(docs))}
