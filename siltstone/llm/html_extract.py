@@ -7,7 +7,7 @@ linear hash, the sum over pages of count times a hash of the page, so that they
 over partitions and a host of any size is never gathered in one place. Classes that
 occur on enough pages of the host and whose tokens come in one order, with spans that
 nest and don't cross, make up the template. What lies between template tokens are slots;
-the article is read from the slots that belong to the page's main part.
+the article is read from them. An article or main element is a hint which slots to take.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from siltstone.llm._common import free_name, python_ready
 
 #: A class is valid on a host with this many pages at least, if its tokens occur on this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.6
+#: Inside a main element, where pages may share an article, a text is template if its class is on this share of the pages with such an element.
+MAIN_SHARE = 0.9
+#: Token that stands for a text in a main element (other ids are not negative).
+_MAIN = -1
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -151,7 +155,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
             weight = _hash(f"page {page}") & ((1 << 62) - 1)
             seen: dict[int, list[int]] = {}
-            for at, token in enumerate(tokens(parse(source))):
+            parsed = parse(source)
+            inside = next((at for at, (_, text, away, main) in enumerate(parsed) if text and main and not away), None)
+            if inside is not None:
+                seen[_MAIN] = [1, inside, inside]
+            for at, token in enumerate(tokens(parsed)):
                 x = seen.setdefault(token, [0, at, at])
                 x[0] += 1
                 x[2] = at
@@ -169,7 +177,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and the tokens of its template (sorted array), from a frame of host, page, source."""
+    """host and the tokens of its template (sorted array), from a frame of host, page, source.
+
+    A token whose class has less than MAIN_SHARE of the pages with a main element is given as -2 - token.
+    """
     schema = "host string, token long, vector long, pages long, n long, first long, last long"
     counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     vectors = (
@@ -179,9 +190,9 @@ def templates(pages: DataFrame) -> DataFrame:
             F.expr("sum(cast(vector as decimal(38,0))) % 4611686018427387904").cast("long").alias("vector"),
             *[F.sum(c).alias(c) for c in ("pages", "n", "first", "last")],
         )
-        .where(F.col("pages") >= LEAST_PAGES)
+        .where((F.col("pages") >= LEAST_PAGES) | (F.col("token") == _MAIN))
         .join(counts, "host")
-        .where(F.col("pages") >= LEAST_SHARE * F.col("of"))
+        .where((F.col("pages") >= LEAST_SHARE * F.col("of")) | (F.col("token") == _MAIN))
     )
     # A class: mean span of its tokens; it is kept if no other class of the host crosses it (their spans nest or are apart).
     classes = vectors.groupBy("host", "vector").agg(
@@ -192,22 +203,27 @@ def templates(pages: DataFrame) -> DataFrame:
         "classes", lambda o: (o.support > c.support) & (((o.a < c.a) & (c.a < o.b) & (o.b < c.b)) | ((c.a < o.a) & (o.a < c.b) & (c.b < o.b)))
     )
     valid = F.filter("classes", lambda c: ~crossed(c))
-    return listed.select("host", F.array_sort(F.array_distinct(F.flatten(F.transform(valid, lambda c: c.tokens)))).alias("template"))
+    mains = F.coalesce(F.get(F.filter("classes", lambda c: F.array_contains(c.tokens, _MAIN)), 0).support, F.lit(0))
+    listed = listed.select("host", valid.alias("valid"), mains.alias("mains"))
+    given = F.transform("valid", lambda c: F.transform(c.tokens, lambda t: F.when(c.support >= MAIN_SHARE * F.col("mains"), t).otherwise(-2 - t)))
+    return listed.select("host", F.array_sort(F.array_distinct(F.flatten(given))).alias("template"))
 
 
 def article(source: str, template: set[int]) -> list[str]:
     """Blocks of the article of one page, by its host's template (empty: unknown).
 
-    Slots are what is left between template tokens: texts that the template has are dropped, save inside a main
-    element, where a host's pages may share an article. Where no element is marked as main, the article is the
-    container whose slots hold the most text.
+    Slots are what is left between template tokens: texts that the template has are dropped, inside a main element only
+    those of classes with enough support there, as a host's pages may share an article. If a page has a main element,
+    its slots are the article; if the template leaves none of them, all pages share that article, and it stays. Where no
+    element is marked as main, the article is the container whose slots hold the most text.
     """
     page = parse(source)
     ids = tokens(page) if template else []
-    mains = [i for i, (_, text, away, main) in enumerate(page) if text and main and not away]
+    texts = [i for i, (_, text, away, _) in enumerate(page) if text and not away]
+    mains = [i for i in texts if page[i][3]]
     if mains:
-        return [page[i][1] for i in mains]
-    slots = [i for i, (path, text, away, _) in enumerate(page) if text and not away and not (template and ids[i] in template)]
+        return [page[i][1] for i in [i for i in mains if not (template and ids[i] in template)] or mains]
+    slots = [i for i in texts if not (template and (ids[i] in template or -2 - ids[i] in template))]
     if not slots:
         return []
     weight: dict[str, int] = {}

@@ -31,6 +31,18 @@ def test_template_of_a_host(spark, as_rows):
         assert got[i] == f"Title {i}\nBody & soul of page {i}, with a long enough text to be the main one.\nSecond {i} — paragraph <ok>."
 
 
+def test_template_inside_articles(spark, as_rows):
+    page = "<body><div>Top of the host</div><article><h1>Title {n}</h1><p>Body of page {n}.</p><p>{own}</p><div>Share this story</div></article></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(n=i, own="a notice that most share" if i else "an own one")) for i in range(5)]
+    rows += [(10 + i, f"http://same.example/{i}", page.format(n=1, own="x")) for i in range(4)]
+    rows += [(20 + i, f"http://mixed.example/{i}", page.format(n=i if i < 3 else 9, own="y")) for i in range(8)] + [(30, "http://mixed.example/", "<p>index</p>")]
+    got = {r["page_id"]: r["text"] for r in as_rows(H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    for i in range(5):
+        assert got[i] == f"Title {i}\nBody of page {i}.\n" + ("a notice that most share" if i else "an own one")
+    assert got[10] == "Title 1\nBody of page 1.\nx\nShare this story"
+    assert [got[20 + i] for i in range(8)] == [f"Title {n}\nBody of page {n}." for n in (0, 1, 2, 9, 9, 9, 9, 9)]
+
+
 def test_odd_pages(spark, as_rows):
     rows = [
         (1, None, None), (2, "not a url", ""), (3, "http://x.y/", "<p>unclosed <b>bold<p>next"), (4, "http://x.y/", "plain text"),
