@@ -215,7 +215,7 @@ def article(source: str, template: set[int]) -> list[str]:
     Slots are what is left between template tokens: texts that the template has are dropped, inside a main element only
     those of classes with enough support there, as a host's pages may share an article. If a page has a main element,
     its slots are the article; if the template leaves none of them, all pages share that article, and it stays. Where no
-    element is marked as main, the article is the container whose slots hold the most text.
+    element is marked as main, all slots are, in the order of the page.
     """
     page = parse(source)
     ids = tokens(page) if template else []
@@ -224,16 +224,7 @@ def article(source: str, template: set[int]) -> list[str]:
     if mains:
         return [page[i][1] for i in [i for i in mains if not (template and ids[i] in template)] or mains]
     slots = [i for i in texts if not (template and (ids[i] in template or -2 - ids[i] in template))]
-    if not slots:
-        return []
-    weight: dict[str, int] = {}
-    for i in slots:
-        path = page[i][0]
-        leaf = path.rsplit("/", 1)[-1].split(".")[0]
-        box = path.rsplit("/", 1)[0] if leaf in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dd", "dt", "td") else path
-        weight[box] = weight.get(box, 0) + len(page[i][1])
-    best = max(weight, key=lambda b: (weight[b], -len(b)))
-    return [page[i][1] for i in slots if page[i][0] == best or page[i][0].startswith(best + "/")]
+    return [page[i][1] for i in slots]
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", keep: list[str] | None = None) -> DataFrame:

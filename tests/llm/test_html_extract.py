@@ -43,6 +43,15 @@ def test_template_inside_articles(spark, as_rows):
     assert [got[20 + i] for i in range(8)] == [f"Title {n}\nBody of page {n}." for n in (0, 1, 2, 9, 9, 9, 9, 9)]
 
 
+def test_all_slots_without_a_main_element(spark, as_rows):
+    page = """<body><div class="menu">Home</div><div class="content"><h1>Title {n}</h1><div class="body"><p>Text {n} of some length.</p></div></div>
+<div id="s1"><p>First {n}</p></div><div id="s2"><p>Second {n}, a longer section.</p></div><p>Same on all pages</p></body>"""
+    rows = [(i, f"http://h.example/{i}", page.format(n=i)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in as_rows(H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    for i in range(4):
+        assert got[i] == f"Title {i}\nText {i} of some length.\nFirst {i}\nSecond {i}, a longer section."
+
+
 def test_odd_pages(spark, as_rows):
     rows = [
         (1, None, None), (2, "not a url", ""), (3, "http://x.y/", "<p>unclosed <b>bold<p>next"), (4, "http://x.y/", "plain text"),
