@@ -5,7 +5,8 @@ each metric's distribution over the documents that pass the base rules. Sketches
 merge, so those of a language and of the whole corpus come from the same sketches,
 and stand in for groups with too few documents. A document is rejected where a
 metric lies beyond the far fence of its group: ``k`` interquartile ranges outside
-the middle half, where the range counts as at least a floor per metric.
+the middle half. Only where a group hardly varies, as with rates that are 0 in most
+documents, a small floor per metric stands for the range.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ class Fence:
     high: bool
 
 
-#: Mean characters of a word, symbols a word character, repeated lines a line, repeated words a word.
+#: Mean characters of a word, symbols a word character, repeated lines a line, repeated words a word, logarithm of the words.
 FENCES = [
-    Fence("mean_word", 1.0, True, True),
-    Fence("symbol_rate", 0.02, False, True),
-    Fence("dup_line_rate", 0.1, False, True),
+    Fence("mean_word", 0.05, True, True),
+    Fence("symbol_rate", 0.005, False, True),
+    Fence("dup_line_rate", 0.02, False, True),
+    Fence("repeat_rate", 0.015, False, True),
+    Fence("log_words", 0.1, True, True),
 ]
 
 
@@ -45,7 +48,7 @@ class Rules:
 
     min_words: int = 10
     max_repeat_percent: int = 20
-    k: float = 4.0
+    k: float = 3.0
     least: int = 200
     sketch_k: int = 400
     fences: list[Fence] = field(default_factory=lambda: list(FENCES))
@@ -108,6 +111,7 @@ def _metrics() -> dict[str, Column]:
         "symbol_rate": F.col("n_symbols") / least("word_chars"),
         "dup_line_rate": F.col("n_dup_lines") / least("n_lines"),
         "repeat_rate": F.col("n_repeat_words") / least("n_words"),
+        "log_words": F.log(least("n_words")),
     }
 
 

@@ -43,6 +43,29 @@ def test_symbols_are_rejected(spark, as_rows):
     assert not kept[999] and all(kept[i] for i in range(250))
 
 
+def test_outliers_of_each_metric_and_side(spark, as_rows):
+    def text(i, n=60, size=4, lines=10):
+        w = ["abcdefghijklmnopqrstuvwxyz"[(i * 7 + j * 3) % 26] * (size - 1 + (i + j) % 3) + f"{i % 10}{j % 10}" for j in range(n)]
+        return "\n".join(" ".join(w[k::lines]) for k in range(lines))
+
+    rows = [(i, text(i, 40 + i % 40)) for i in range(400)]
+    plain = text(3)
+    planted = {
+        "short words": " ".join("abcdefghijklmnopqrstuvwxyz"[j * 5 % 26] for j in range(26)) + " " + " ".join("ab"[j % 2] + "cdefghijklm"[j % 11] for j in range(22)),
+        "long words": text(3, size=9),
+        "symbols": plain + " ########",
+        "repeated lines": plain + ("\nab1 cd2" * 4),
+        "repeated words": plain + " a1 b2 c3 d4 e5 f6 and a1 b2 c3 d4 e5 f6",
+        "many words": "\n".join(text(i, 60) for i in range(40)),
+        "few words": text(3, 12, lines=2),
+    }
+    rows += [(1000 + k, x) for k, x in enumerate(planted.values())]
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in as_rows(quality.quality(docs))}
+    assert [name for k, name in enumerate(planted) if got[1000 + k]["kept"] or got[1000 + k]["base_failed"]] == []
+    assert all(got[i]["kept"] for i in range(400))
+
+
 def test_odd_rows(odd_docs, no_docs, as_rows):
     out = quality.quality(odd_docs)
     assert set(odd_docs.columns) <= set(out.columns)
