@@ -31,9 +31,8 @@ from siltstone.llm._components import components
 RADIUS, SIMILARITY = 3, 0.9
 #: Buckets of up to LEAF lines give all pairs; so do those whose keys have all but LAST bits.
 LEAF, LAST = 16, 6
-_LANE = 21  # bits of a lane; three lanes fill a long
-_GROUPS = 22  # longs for 64 lanes
-_MOST_WORDS = 1 << 20
+_LANE = 32  # bits of a lane, which no text's words fill; two lanes are a long
+_GROUPS = 32  # longs for 64 lanes
 _FILTER_BITS = 22
 
 
@@ -43,30 +42,25 @@ def normalised(line: Column) -> Column:
 
 
 def _packed(h: Column, group: int) -> Column:
-    """Three bits of a hash, each in a lane of its own."""
-    three = F.shiftrightunsigned(h, 3 * group).bitwiseAND(F.lit(7))
-    return (three * F.lit(1 + (1 << (_LANE - 1)) + (1 << (2 * _LANE - 2)))).bitwiseAND(F.lit(1 + (1 << _LANE) + (1 << (2 * _LANE))))
+    """Two bits of a hash, each in a lane of its own."""
+    two = F.shiftrightunsigned(h, 2 * group).bitwiseAND(F.lit(3))
+    return (two * F.lit(1 + (1 << (_LANE - 1)))).bitwiseAND(F.lit(1 + (1 << _LANE)))
 
 
 def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per line that has a letter or digit: d, v (document and version of its text), p (line from 0), h (hash), f (fingerprint).
-
-    A line of more than 2^20 words counts every n-th of them in its fingerprint, n the least number that brings it there.
-    """
+    """One row per line that has a letter or digit: d, v (document and version of its text), p (line from 0), h (hash), f (fingerprint)."""
     lines = docs.select(
         F.col(doc_id).alias("d"), F.xxhash64(text).alias("v"), F.posexplode(F.split(F.col(text), "\n")).alias("p", "line")
     ).select("d", "v", "p", normalised(F.col("line")).alias("line"))
     split = lines.where(F.col("line") != "").select("d", "v", "p", F.xxhash64("line").alias("h"), F.split("line", " ").alias("w"))
-    step = F.ceil(F.size("w") / F.lit(_MOST_WORDS)).cast("int")
-    words = split.select("d", "v", "p", "h", F.when(step > 1, F.filter("w", lambda x, i: i % step == 0)).otherwise(F.col("w")).alias("w"))
     pairs = F.transform("w", lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1)))
-    hashed = words.select("d", "v", "p", "h", F.explode(pairs).alias("x"))
+    hashed = split.select("d", "v", "p", "h", F.explode(pairs).alias("x"))
     sums = hashed.groupBy("d", "v", "p").agg(
         F.first("h").alias("h"), F.count(F.lit(1)).alias("n"), *[F.sum(_packed(F.col("x"), g)).alias(f"s{g}") for g in range(_GROUPS)]
     )
     print_ = F.lit(0).cast("long")
     for bit in range(64):
-        lane = F.shiftrightunsigned(F.col(f"s{bit // 3}"), _LANE * (bit % 3)).bitwiseAND(F.lit((1 << _LANE) - 1))
+        lane = F.shiftrightunsigned(F.col(f"s{bit // 2}"), _LANE * (bit % 2)).bitwiseAND(F.lit((1 << _LANE) - 1))
         one = (1 << bit) - (1 << 64 if bit == 63 else 0)
         print_ = print_.bitwiseOR(F.when(2 * lane > F.col("n"), F.lit(one)).otherwise(F.lit(0).cast("long")))
     return sums.select("d", "v", "p", "h", print_.alias("f"))

@@ -79,6 +79,20 @@ def test_agrees_with_brute_force(spark, as_rows, monkeypatch, leaf):
     assert sum(got.values()) < len(got)
 
 
+def test_every_word_of_a_very_long_line_counts(spark, as_rows):
+    from collections import Counter
+
+    n = (1 << 20) + 10
+    w = [f"w{i * i % 97}" for i in range(n)]
+    got = as_rows(L.line_table(spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string"), "doc_id", "text"))
+    votes = [0] * 64
+    for (a, b), many in Counter(zip(w, w[1:] + [None])).items():
+        x = xxhash.xxh64_intdigest(a, seed=42)
+        x = x if b is None else xxhash.xxh64_intdigest(b, seed=x)
+        votes = [v + many * (x >> k & 1) for k, v in enumerate(votes)]
+    assert got[0]["f"] & ((1 << 64) - 1) == sum(1 << k for k, v in enumerate(votes) if 2 * v > n)
+
+
 def test_texts(spark, as_rows):
     docs = [(1, "First line of all\n\n--\nshared words in a line"), (2, "shared words in a LINE!\nown words"), (3, None), (4, "first line of all")]
     got = {r["doc_id"]: r["text"] for r in as_rows(L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))}
