@@ -1,24 +1,29 @@
 """Exact join of documents by Jaccard similarity of their word shingles, in a metric space.
 
-Jaccard distance is a metric. Two sets within the radius (0.2 for similarity 0.8) share
-a shingle among the first few of both, in any order that is the same for all sets; so
-the first pivots are shingles: a set lies in the regions of its first n - ceil(0.8 n) + 1
-shingles, rarest first, and each linked pair meets in a region. Equal sets are one point.
-
-Within a region, pivots are sets. All points are measured against the pivot, exactly:
-points within the radius are linked to it and need no comparison among themselves, as
-only connection counts; a point outside can be linked to one inside only if their
-distances to the pivot differ by at most the radius (triangle inequality), so the inner
-points of that window are replicated to the rest. What is not known to be connected then
-is joined recursively with new pivots (dense regions as they are, others in the regions of
-the next shingle that two points may share), until a region's points are all connected or few. Small regions give all
-their pairs at once. Two points that share no next shingle are linked only if those of the region suffice for their
-sizes; then each is linked with the region's smallest point too, so these links are made before a region is parted.
-
-Rare and common shingles are told apart by counting, over all documents, the first ones
-in the order of their hashes: those that COMMON points or more have there come last in
-the order that decides (a bitmap of a fixed size remembers them; its false hits only
-shift the order, for all sets alike, so it is never the reason for a missed pair).
+Jaccard distance d is a metric. Equal sets are one point, and points within the radius
+r (0.2 for similarity 0.8) are linked.
+
+Most sets lie at distance 1 from each other, where no pivot tells anything. They are
+told apart first, by counting: a linked set of n shingles has ceil(0.8 n) of them in
+another one. So a point goes on only if enough of its first shingles (in hash order),
+then of all, occur in other points too. Those that go on meet in the regions of the
+shingles that they share: of the first n - ceil(0.8 n) + 1 of each, rarest first (by
+exact counts), a linked pair shares one.
+
+Regions are then joined as in a metric tree, all of them at once:
+- Pivots are points of the region, taken by a hash, so that overlapping regions take the
+  same ones. Every point is measured against the region's pivots, exactly; those within
+  r are linked to the pivot, and connected points carry one color (their component so
+  far). A region of one color is done.
+- The others fall into Voronoi cells by their nearest pivot. A linked pair x, y with y
+  in the cell of p has d(x, p) <= d(x, nearest pivot of x) + 2 r, so x is replicated to
+  all cells within that window. In a cell, points of the pivot's color can be linked to
+  one of another color only if their distances to the pivot differ by at most r; those
+  outside of that window go.
+- Cells are regions of the next round. A region whose windows would replicate too much
+  (its points are all about equally far from its pivots) gives its
+  pairs of different colors if it is small; it stays whole, without its pivots and with more of them, while these link
+  points; else it is parted by the next shingle that two points may share.
 """
 
 from __future__ import annotations
@@ -27,19 +32,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from siltstone.llm import _shingles as S
-from siltstone.llm._common import python_ready, stash, unstash
+from siltstone.llm._common import free_name, python_ready, stash, unstash
 from siltstone.llm._components import components
-from siltstone.llm.line_dedup import bit_table, maybe_in
-from siltstone.llm.suffix_dedup import Bitmap, _release, bitmap
+from siltstone.llm._filters import Bitmap, bitmap, release
 
-#: Similarity in percent, words of a shingle, points of a region that give all pairs, and points that make a shingle common.
-PERCENT, K, LEAF, COMMON = 80, 5, 64, 5
-#: A region goes on whole, with another pivot, while a pivot links at least this share of it anew; else it is parted.
-DENSE = 0.2
+#: Similarity in percent and words of a shingle.
+PERCENT, K = 80, 5
+#: Points of a region that gives all its pairs of different colors; pivots of a larger one.
+LEAF, PIVOTS = 16, 8
+#: A region is parted into cells if these hold at most SPREAD times its points; a larger one than WHOLE is parted otherwise.
+SPREAD, WHOLE = 1.5, 256
 
 
 def sets(texts: pa.Array, hasher: S.Hasher, k: int = K) -> Iterator[np.ndarray]:
@@ -56,94 +63,127 @@ def point(own: np.ndarray) -> int:
     return int(S.mixed(np.array([total & ((1 << 64) - 1)], np.uint64)).view(np.int64)[0])
 
 
-def prefix_size(n: int, percent: int = PERCENT) -> int:
-    """Shingles of n among which every set of that similarity shares one."""
-    return n - -(-percent * n // 100) + 1
+def misses(n: int, percent: int = PERCENT) -> int:
+    """Shingles of n that a linked set may lack."""
+    return n * (100 - percent) // 100
 
 
-def _points(docs: DataFrame, k: int) -> DataFrame:
-    """Of each document (frame of id, t): (id, n, x): its number of shingles and its point, null if it has no word."""
-    kind = docs.schema["id"].dataType.simpleString()
+def head_size(n: int, percent: int = PERCENT) -> int:
+    """First shingles that are looked at: most of them are in a linked set."""
+    return min(n, 2 * misses(n, percent) + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = S.Hasher()
-        for batch in batches:
-            for part in S.slices(batch, 1):
-                own = list(sets(part.column(1), hasher, k))
-                xs = pa.array([point(s) if len(s) else None for s in own], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in own], pa.int64()), xs], ["id", "n", "x"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, x long")
+def least_shared(n: int, percent: int = PERCENT) -> int:
+    """Of the first head_size(n) shingles of a linked set, how many are at least among the first of another one.
+
+    The set whose head ends at the smaller hash has misses + 1 of them in the other's head. The other one has at least
+    ceil(percent n / 100) shingles if it is the smaller set.
+    """
+    return misses(-(-percent * n // 100), percent) + 1
 
 
-def _regions(docs: DataFrame, k: int, percent: int, common: Bitmap | None, open_: Bitmap | None) -> DataFrame:
-    """(t, x, n, i): the first shingles of each point and their places, common ones last; with ``open_``, only those that it has."""
-    shared = docs.sparkSession.sparkContext.broadcast((common, open_))  # of a fixed size
+def _points(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of each document (frame of id, t): (id, n, x, least, head): its shingles, its point (null without a word), and the head
+    of the point where it is met first in a task."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, maps = shared.value
         hasher, seen = S.Hasher(), set()
         for batch in batches:
             for part in S.slices(batch, 1):
-                ts, xs, ns, places = [], [], [], []
+                ns, xs, least, heads = [], [], [], []
                 for own in sets(part.column(1), hasher, k):
-                    if not len(own) or (x := point(own)) in seen:
-                        continue
-                    if len(seen) < 1 << 19:  # copies that are met again later only cost rows
-                        seen.add(x)
-                    n = len(own)
-                    own = S.mixed(own)
-                    if late is not None:
-                        own = own[np.argsort(late.has(own), kind="stable")]
-                    first = own[: prefix_size(n, percent)]
-                    at = np.arange(len(first), dtype=np.int32)
-                    if maps is not None:
-                        has = maps.has(first)
-                        first, at = first[has], at[has]
-                    ts.append(first)
-                    xs.append(np.full(len(first), x, np.int64))
-                    ns.append(np.full(len(first), n, np.int32))
-                    places.append(at)
-                if ts:
-                    arrays = [pa.array(np.concatenate(ts).view(np.int64)), pa.array(np.concatenate(xs)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(places))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["t", "x", "n", "i"])
-
-    return docs.mapInArrow(run, "t long, x long, n int, i int")
-
-
-def _sets_of(docs: DataFrame, k: int, common: Bitmap, wanted: Bitmap) -> DataFrame:
-    """(x, s): the shingles of points that are in the bitmap, in the order that decides; once a task."""
-    shared = docs.sparkSession.sparkContext.broadcast((common, wanted))  # of a fixed size
+                    n, x, head = len(own), None, None
+                    if n:
+                        x = point(own)
+                        if x not in seen:
+                            if len(seen) < 1 << 19:  # copies that are met again later only cost rows
+                                seen.add(x)
+                            head = np.sort(S.mixed(own))[: head_size(n, percent)].view(np.int64)
+                    ns.append(n)
+                    xs.append(x)
+                    least.append(least_shared(n, percent))
+                    heads.append(head)
+                arrays = [part.column(0), pa.array(ns, pa.int64()), pa.array(xs, pa.int64()), pa.array(least, pa.int32()), pa.array(heads, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "x", "least", "head"])
+
+    return docs.mapInArrow(run, f"id {kind}, n long, x long, least int, head array<long>")
+
+
+def _sets_of(docs: DataFrame, k: int, wanted: Bitmap) -> DataFrame:
+    """(x, s): the shingles of points that are in the bitmap, once a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)  # of a bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (late, maps), hasher, seen = shared.value, S.Hasher(), set()
+        hasher, seen = S.Hasher(), set()
         for batch in batches:
             for part in S.slices(batch, 1):
                 xs, ss = [], []
                 for own in sets(part.column(1), hasher, k):
-                    if not len(own) or (x := point(own)) in seen or not maps.has(np.array([x], np.int64).view(np.uint64))[0]:
+                    if not len(own) or (x := point(own)) in seen or not shared.value.has(np.array([x], np.int64).view(np.uint64))[0]:
                         continue
-                    if len(seen) < 1 << 20:
+                    if len(seen) < 1 << 19:
                         seen.add(x)
-                    own = S.mixed(own)
                     xs.append(x)
-                    ss.append(own[np.argsort(late.has(own), kind="stable")].view(np.int64))
+                    ss.append(np.sort(S.mixed(own)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ss, pa.list_(pa.int64()))], ["x", "s"])
 
     return docs.mapInArrow(run, "x long, s array<long>")
 
 
-def _measure(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) with ``both`` (shingles in common) and ``all`` (in either); pairs is read twice."""
-    shingles = maybe_in(shingles, "x", bit_table(pairs.select(F.explode(F.array("a", "b")).alias("x")), "x"))
-    left = pairs.select("a", "b").distinct().join(shingles.select(F.col("x").alias("b"), F.col("s").alias("sb")), "b")
-    both = left.join(shingles.select(F.col("x").alias("a"), F.col("s").alias("sa")), "a")
+def _candidates(docs: DataFrame, points: DataFrame, k: int, percent: int) -> DataFrame:
+    """(x, n, s): points with enough shingles in their heads that are in the heads of others."""
+    spark = docs.sparkSession
+    heads = points.where(F.col("head").isNotNull()).select("x", "least", F.explode("head").alias("t"))
+    shared = heads.groupBy("t").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where(F.col("lo") < F.col("hi")).select("t")
+    shared = stash(shared, "shared")
+    release(spark)
+    counted = heads.join(shared, "t", "left_semi").distinct().groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("least"))
+    on = stash(counted.where(F.col("c") >= F.col("least")).select("x"), "on")
+    release(spark)
+    unstash(shared)
+    # The filter's bits follow the counted keys; what it lets through beyond them goes with the exact join.
+    found = _sets_of(docs, k, bitmap(on, "x", on.count())).join(on, "x", "left_semi").dropDuplicates(["x"])
+    found = stash(found.select("x", F.size("s").alias("n"), "s"), "candidates")
+    release(spark)
+    unstash(on)
+    return found
+
+
+def _regions(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (t, x, n, i) of the regions of rare shared shingles (i: place in the order), their sets (x, n, s), and the places of all shared shingles."""
+    spark = found.sparkSession
+    rows = found.select("x", "n", F.explode("s").alias("t"))
+    counts = stash(rows.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1), "counts")
+    rows = stash(rows.join(counts, "t"), "shared-rows")
+    need = F.ceil(F.col("n") * percent / 100)
+    enough = stash(rows.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= need).select("x", "c"), "enough")
+    release(spark)
+    # Shingles of one point only are the rarest, and need no row; the rest follow by count, then by hash.
+    order = Window.partitionBy("x").orderBy("m", "t")
+    ranked = rows.join(enough, "x").select("t", "x", "n", (F.col("n") - F.col("c") + F.row_number().over(order) - 1).cast("int").alias("i"))
+    ranked = stash(ranked, "ranked")
+    release(spark)
+    first = ranked.where(F.col("i") < F.col("n") - need + 1)
+    open_ = first.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("t")
+    regions = stash(first.join(open_, "t", "left_semi"), "regions")
+    members = stash(found.join(regions.select("x").distinct(), "x", "left_semi").select("x", "n", "s"), "sets")
+    for old in (counts, rows, enough):
+        unstash(old)
+    release(spark)
+    return regions, members, ranked
+
+
+def _measure(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) with ``both`` (shingles in common) and ``all`` (in either)."""
+    left = pairs.join(shingles.select(F.col("x").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
+    both = left.join(shingles.select(F.col("x").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", common.alias("both"), (F.size("sa") + F.size("sb") - common).alias("all"))
+    return both.select("a", "b", common.alias("both"), (F.col("na") + F.col("nb") - common).alias("all"))
 
 
 def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of small regions that sizes, places and colors leave.
+    """Distinct pairs (a, b) of small regions that sizes, places and colors leave.
 
     Were the region's last shingle (their ``g``-th in common, at place i) followed by nothing but common ones, the two
     would still have to share enough.
@@ -151,90 +191,105 @@ def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
     mates = rows.select("t", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("color").alias("cb"))
     rest = F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib")) + (F.col("g") - 1)
     near = (100 + percent) * rest >= percent * (F.col("n") + F.col("nb"))
-    apart = F.col("color").isNull() | F.col("cb").isNull() | (F.col("color") != F.col("cb"))
-    return rows.join(mates, "t").where((F.col("x") < F.col("b")) & near & apart).select(F.col("x").alias("a"), "b").distinct()
+    return rows.join(mates, "t").where((F.col("x") < F.col("b")) & near & (F.col("color") != F.col("cb"))).select(F.col("x").alias("a"), "b").distinct()
 
 
-def _links(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links between points, enough of them to connect whatever is connected."""
-    spark = docs.sparkSession
-    often = _regions(docs, k, percent, None, None).groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= COMMON)
-    common = bitmap(often, "t")
-    _release(spark)
-    counted = _regions(docs, k, percent, common, None).groupBy("t").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    open_ = bitmap(counted.where(F.col("lo") < F.col("hi")).select("t"), "t")
-    _release(spark)
-    members = stash(_regions(docs, k, percent, common, open_).distinct(), "members")
-    sizes = members.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    regions = stash(members.join(sizes, "t"), "regions")
-    unstash(members)
-    _release(spark)
-    none = F.lit(None).cast("long")
-    rows = regions.select("t", "x", "n", "i", F.lit(1).alias("g"), none.alias("color"))
-    links = shingles = None
+def _rank(x: str) -> Column:
+    """A number from 0 to 1 by which a point is taken as a pivot, the same in all regions."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(x)), 11) / float(1 << 53)
+
+
+def _colored(rows: DataFrame, colors: DataFrame | None) -> DataFrame:
+    """Rows with ``color``: the least point that theirs is connected with so far."""
+    if colors is None:
+        return rows.withColumn("color", F.col("x"))
+    return rows.join(colors.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("color", F.coalesce("root", "x")).drop("root")
+
+
+def _links(found: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root): the least point of each connected one; None if nothing is linked."""
+    spark = found.sparkSession
+    rows, shingles, ranked = _regions(found, percent)
+    rows = rows.select("t", "x", "n", "i", F.lit(1).alias("g"), F.lit(False).alias("last"))
     radius = (100 - percent) / 100 + 1e-9
     linked = 100 * F.col("both") >= percent * F.col("all")
+    links: list[DataFrame] = []
+    colors = None
+    stage = 0
     while True:
-        # Rows of regions of two points or more that aren't known to be connected yet.
-        sizes = rows.groupBy("t").agg(
-            F.count(F.lit(1)).alias("m"), F.count_distinct("color").alias("s"), F.count(F.when(F.col("color").isNull(), 1)).alias("plain")
-        )
-        sizes = sizes.where((F.col("m") > 1) & ((F.col("plain") > 1) | (F.col("plain") + F.col("s") > 1))).select("t", "m")
-        region = stash(rows.join(sizes, "t"), "region")
-        pairs = stash(_small_pairs(region.where(F.col("m") <= LEAF), percent), "pairs")
-        big = region.where(F.col("m") > LEAF).drop("m")
-        if shingles is None:  # only those that will be measured, now or later
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).unionByName(big.select("x"))
-            shingles = stash(_sets_of(docs, k, common, bitmap(wanted, "x")).dropDuplicates(["x"]), "sets")
-            _release(spark)
-        measured = stash(_measure(pairs, shingles, percent), "measured")
-        new = measured.where(linked).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        if not big.limit(1).count():
-            break
-        # All points of a region share its g shingles. Two whose sizes ask for no more are linked, and both with the smallest.
-        smallest = big.groupBy("t").agg(F.min(F.struct("n", "x")).alias("p")).select("t", F.col("p.x").alias("a"), F.col("p.n").alias("na"))
-        enough = (F.col("x") != F.col("a")) & ((100 + percent) * F.col("g") >= percent * (F.col("n") + F.col("na")))
-        links = links.unionByName(stash(big.join(smallest, "t").where(enough).select("a", F.col("x").alias("b")).distinct(), "enough"))
-        first = F.min(F.struct(F.col("color").isNotNull().alias("c"), F.xxhash64("x").alias("h"), "x", F.col("color").alias("own")))
-        pivots = big.groupBy("t").agg(first.alias("p")).select("t", F.col("p.x").alias("a"), F.col("p.own").alias("own"))
-        met = big.join(pivots, "t").where(F.col("x") != F.col("a"))
-        asked = stash(met.select("a", F.col("x").alias("b")).distinct(), "asked")
-        measured = stash(_measure(asked, shingles, percent), "measured")
-        links = links.unionByName(measured.where(linked).select("a", "b"))
-        told = measured.select("a", F.col("b").alias("x"), (1 - F.col("both") / F.col("all")).alias("d"), linked.alias("now"))
-        after = stash(met.join(told, ["a", "x"]), "after")
-        # Points that the pivot links, and all points connected with one of them before, are of the pivot's color now.
-        merged = after.where(F.col("now") & F.col("color").isNotNull()).select("t", "color").distinct().withColumn("same", F.lit(True))
-        with_pivot = after.join(merged, ["t", "color"], "left")
-        mine = F.col("now") | F.coalesce("same", F.lit(False)) | F.coalesce(F.col("color") == F.col("own"), F.lit(False))
-        color = F.when(mine, F.col("a")).otherwise(F.col("color"))
-        anew = F.col("now") & ~F.coalesce(F.col("color") == F.col("own"), F.lit(False))
-        colored = with_pivot.select("t", "x", "n", "i", "g", "d", color.alias("color"), mine.alias("mine"), anew.alias("anew"))
-        colored = stash(colored, "colored")
-        other = ~F.col("mine")
-        left = colored.groupBy("t").agg(
-            F.min(F.when(other, F.col("d"))).alias("low"), F.max(F.when(other, F.col("d"))).alias("high"),
-            (F.avg(F.col("anew").cast("double")) >= DENSE).alias("dense"),
-        ).where(F.col("low").isNotNull())
-        # Points of other colors go on, and with them those of the pivot's color that may be linked to one of them.
-        window = F.col("d").between(F.col("low") - radius, F.col("high") + radius)
-        on = stash(colored.join(left, "t").where(other | window).select("t", "x", "n", "i", "g", "color", "dense"), "on")
-        # The next shingle that two of them share stands among the first that the misses so far leave.
-        parted = on.where(~F.col("dense"))
-        sets_on = maybe_in(shingles, "x", bit_table(parted.select("x"), "x"))
-        misses = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int")
-        last = F.least(misses + F.col("g"), F.col("n") - 1)
-        ahead = parted.where(F.col("i") < last).join(sets_on, "x").select(
-            "t", "x", "n", "g", "color", "s", F.explode(F.sequence(F.col("i") + 1, last)).alias("i")
-        )
-        rows = ahead.select(
-            F.xxhash64("t", F.get("s", F.col("i"))).alias("t"), "x", "n", F.col("i").cast("int").alias("i"), (F.col("g") + 1).alias("g"), "color"
-        ).unionByName(on.where("dense").drop("dense"))
-        for old in (after, colored, asked, region):
+        seen = _colored(rows, colors)
+        mixed = seen.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("color").alias("lo"), F.max("color").alias("hi"))
+        mixed = mixed.where(F.col("lo") != F.col("hi")).select("t", "m")
+        region = stash(seen.join(mixed, "t"), "region")
+        new = []
+        # In the first round every region has a pivot: one that overlapping regions share connects most of a group.
+        small = (F.col("last") | (F.col("m") <= LEAF)) if stage else F.lit(False)
+        if stage:
+            pairs = stash(_small_pairs(region.where(small), percent), "pairs")
+            told = stash(_measure(pairs, shingles), "told")
+            new.append(told.where(linked).select("a", "b"))
+            unstash(pairs)
+        big = region.where(~small)
+        more = bool(big.limit(1).count())
+        if more:
+            # All points of a region share g shingles. Two whose sizes ask for no more are linked, and both with the smallest.
+            smallest = big.groupBy("t").agg(F.min(F.struct("n", "x")).alias("p")).select("t", F.col("p.x").alias("a"), F.col("p.n").alias("na"))
+            enough = (F.col("x") != F.col("a")) & ((100 + percent) * F.col("g") >= percent * (F.col("n") + F.col("na")))
+            new.append(stash(big.join(smallest, "t").where(enough).select("a", F.col("x").alias("b")).distinct(), "enough"))
+            least = big.groupBy("t").agg(F.min(_rank("x")).alias("least"))
+            taken = (_rank("x") == F.col("least")) | ((F.col("m") > LEAF) & (_rank("x") < F.lit(PIVOTS << stage) / F.col("m")))
+            marked = stash(big.join(least, "t").withColumn("pivot", taken).drop("least"), "marked")
+            pivots = marked.where("pivot").select("t", F.col("x").alias("a"), F.col("n").alias("na"), F.col("color").alias("ca"))
+            asked = marked.join(pivots, "t").where(F.col("x") != F.col("a"))
+            # Pivots among themselves are measured once.
+            asked = asked.select(F.when(F.col("pivot"), F.least("a", "x")).otherwise(F.col("a")).alias("a"), F.when(F.col("pivot"), F.greatest("a", "x")).otherwise(F.col("x")).alias("b"))
+            asked = stash(asked.distinct(), "asked")
+            told = stash(_measure(asked, shingles), "told")
+            new.append(told.where(linked).select("a", "b"))
+        links += [stash(x.distinct(), "links") for x in new]
+        found_any = links[0]
+        for x in links[1:]:
+            found_any = found_any.unionByName(x)
+        old, colors = colors, components(found_any)
+        if old is not None:
             unstash(old)
-        _release(spark)
-    return stash(links.distinct(), "links")
+        unstash(region)
+        if not more:
+            for x in (shingles, ranked):
+                unstash(x)
+            return colors
+        rows = stash(_next(marked, pivots, told, colors, ranked, percent, radius), "rows")
+        for x in (marked, asked, told):
+            unstash(x)
+        release(spark)
+        stage += 1
+
+
+def _next(marked: DataFrame, pivots: DataFrame, told: DataFrame, colors: DataFrame, ranked: DataFrame, percent: int, radius: float) -> DataFrame:
+    """Regions (t, x, n, i, g, last) of the next round: cells of the Voronoi partition, or what is left of regions that stay whole or are parted by a shingle."""
+    rest = _colored(marked.where(~F.col("pivot")).drop("color"), colors)
+    hubs = _colored(pivots.select("t", F.col("a").alias("x")), colors).select("t", F.col("x").alias("a"), F.col("color").alias("ca"))
+    far = told.select("a", F.col("b").alias("x"), (1 - F.col("both") / F.col("all")).alias("d"))
+    cells = rest.join(hubs, "t").join(far, ["a", "x"])
+    nearest = cells.groupBy("t", "x").agg(F.min("d").alias("near"))
+    cells = stash(cells.join(nearest, ["t", "x"]).where(F.col("d") <= F.col("near") + 2 * radius), "cells")
+    # Within a cell, points of the pivot's color matter only near one of another color.
+    other = F.when(F.col("color") != F.col("ca"), F.col("d"))
+    bounds = cells.groupBy("t", "a").agg(F.min(other).alias("low"), F.max(other).alias("high")).where(F.col("low").isNotNull())
+    window = (F.col("color") != F.col("ca")) | F.col("d").between(F.col("low") - radius, F.col("high") + radius)
+    kept = stash(cells.join(bounds, ["t", "a"]).where(window).select("t", "a", "x", "n", "i", "g", "m", "color", "d"), "kept")
+    spread = kept.groupBy("t").agg(F.count(F.lit(1)).alias("held"), F.max("m").alias("m"), (F.avg((F.col("d") <= radius).cast("int")) >= 1 / PIVOTS).alias("dense"))
+    fate = F.when(F.col("held") <= SPREAD * F.col("m"), "cells").when((F.col("m") <= WHOLE) | F.col("dense"), "whole").otherwise("parted")
+    kept = kept.join(spread.select("t", fate.alias("fate")), "t")
+    split = kept.where("fate = 'cells'").select(F.xxhash64("t", "a").alias("t"), "x", "n", "i", "g", F.lit(False).alias("last"))
+    whole = kept.where("fate = 'whole'").select("t", "x", "n", "i", "g", (F.col("m") <= WHOLE).alias("last")).distinct()
+    # The next shingle that two points share stands among the first that the misses so far leave; its place is theirs alone.
+    parted = kept.where("fate = 'parted'").select("t", "x", "n", "i", "g").distinct()
+    last = F.least(F.floor(F.col("n") * (100 - percent) / 100) + F.col("g"), F.col("n") - 1)
+    later = ranked.select("x", F.col("i").alias("j"), F.col("t").alias("u"))
+    ahead = parted.join(later, "x").where((F.col("j") > F.col("i")) & (F.col("j") <= last))
+    ahead = ahead.select(F.xxhash64("t", "u").alias("t"), "x", "n", F.col("j").alias("i"), (F.col("g") + 1).alias("g"), F.lit(False).alias("last"))
+    return split.unionByName(whole).unionByName(ahead)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = K) -> DataFrame:
@@ -243,20 +298,23 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     Words are runs without white space, A-Z as a-z. A text with fewer than k words is one shingle, if it has a word; null
     texts and those without words have an empty set and are connected with nothing (component: the own id). Equal rows
     each give a row. Null ids are treated as larger than all others; a component of null ids alone has a null id. Other
-    columns are left out; an empty table gives no row. Shingles are compared by 64-bit hashes.
+    columns are left out; an empty table gives no row. Shingles, and sets, are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     python_ready(spark)
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    points = stash(_points(base, k), "points")
-    links = _links(base, k, percent)
-    roots = components(links).select(F.col("node").alias("x"), "root")
-    grouped = points.join(roots, "x", "left").select("id", "n", F.coalesce("root", "x").alias("g"))
+    points = stash(_points(base, k, percent), "points")
+    found = _candidates(base, points, k, percent)
+    roots = _links(found, percent).select(F.col("node").alias("x"), "root")
+    unstash(found)
+    release(spark)
+    grouped = points.select("id", "n", "x").join(roots, "x", "left").select("id", "n", F.coalesce("root", "x").alias("g"))
     least = grouped.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("id").alias("least"))
     return grouped.join(least, "g", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = K) -> DataFrame:
     """The documents that are the smallest id of their component, with all their columns; of several rows with that id, all."""
-    kept = join(docs, doc_id, text, percent, k).where(F.col("component_id").eqNullSafe(F.col(doc_id))).select(F.col(doc_id).alias("the kept id")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["the kept id"]), "left_semi")
+    name = free_name(docs.columns, "kept_id")
+    kept = join(docs, doc_id, text, percent, k).where(F.col("component_id").eqNullSafe(F.col(doc_id))).select(F.col(doc_id).alias(name)).distinct()
+    return docs.join(kept, docs[doc_id].eqNullSafe(kept[name]), "left_semi")
