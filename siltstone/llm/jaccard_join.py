@@ -43,10 +43,11 @@ from siltstone.llm._filters import Bitmap, bitmap, release
 
 #: Similarity in percent and words of a shingle.
 PERCENT, K = 80, 5
-#: Points of a region that gives all its pairs of different colors; pivots of a larger one.
-LEAF, PIVOTS = 16, 8
-#: A region is parted into cells if these hold at most SPREAD times its points; a larger one than WHOLE is parted otherwise.
-SPREAD, WHOLE = 1.5, 256
+#: Pivots of a region of more than four times as many points in the first round, and twice as many in each later one.
+PIVOTS = 32
+#: A region is parted into cells if these hold at most SPREAD times its points. After the first round, up to WHOLE points
+#: that are of another color than the rest of their region are compared with all points of other colors.
+SPREAD, WHOLE = 1.5, 2048
 
 
 def sets(texts: pa.Array, hasher: S.Hasher, k: int = K) -> Iterator[np.ndarray]:
@@ -183,15 +184,18 @@ def _measure(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of small regions that sizes, places and colors leave.
+    """Distinct pairs (a, b) of points of different colors that sizes and places leave; of both, one at least isn't of the region's main color.
 
     Were the region's last shingle (their ``g``-th in common, at place i) followed by nothing but common ones, the two
     would still have to share enough.
     """
-    mates = rows.select("t", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("color").alias("cb"))
+    mates = rows.where(F.col("color") != F.col("main")).select(
+        "t", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("color").alias("cb")
+    )
     rest = F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib")) + (F.col("g") - 1)
     near = (100 + percent) * rest >= percent * (F.col("n") + F.col("nb"))
-    return rows.join(mates, "t").where((F.col("x") < F.col("b")) & near & (F.col("color") != F.col("cb"))).select(F.col("x").alias("a"), "b").distinct()
+    pairs = rows.join(mates, "t").where((F.col("color") != F.col("cb")) & near)
+    return pairs.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
 
 
 def _rank(x: str) -> Column:
@@ -206,24 +210,45 @@ def _colored(rows: DataFrame, colors: DataFrame | None) -> DataFrame:
     return rows.join(colors.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("color", F.coalesce("root", "x")).drop("root")
 
 
-def _links(found: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root): the least point of each connected one; None if nothing is linked."""
+def _merged(colors: DataFrame | None, new: list[DataFrame]) -> DataFrame:
+    """(node, root) after new links: these connect roots, so each round's graph has only what the rounds before left apart."""
+    links = new[0] if len(new) == 1 else new[0].unionByName(new[1]) if len(new) == 2 else new[0].unionByName(new[1]).unionByName(new[2])
+    if colors is None:
+        return stash(components(links), "colors")
+    both = _colored(links.select(F.col("a").alias("x"), "b"), colors).select(F.col("color").alias("a"), F.col("b").alias("x"))
+    edges = stash(_colored(both, colors).select("a", F.col("color").alias("b")).where("a <> b").distinct(), "edges")
+    if not edges.limit(1).count():
+        return colors
+    roots = components(edges)
+    moved = colors.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    old = moved.select("node", F.coalesce("to", "root").alias("root"))
+    fresh = roots.join(colors.select("node"), "node", "left_anti")
+    out = stash(old.unionByName(fresh), "colors")
+    for x in (colors, edges):
+        unstash(x)
+    return out
+
+
+def _links(found: DataFrame, percent: int) -> DataFrame:
+    """(node, root): the least point of each connected one."""
     spark = found.sparkSession
     rows, shingles, ranked = _regions(found, percent)
-    rows = rows.select("t", "x", "n", "i", F.lit(1).alias("g"), F.lit(False).alias("last"))
+    rows = rows.select("t", "x", "n", "i", F.lit(1).alias("g"))
     radius = (100 - percent) / 100 + 1e-9
     linked = 100 * F.col("both") >= percent * F.col("all")
-    links: list[DataFrame] = []
     colors = None
     stage = 0
     while True:
         seen = _colored(rows, colors)
-        mixed = seen.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("color").alias("lo"), F.max("color").alias("hi"))
-        mixed = mixed.where(F.col("lo") != F.col("hi")).select("t", "m")
+        # Of each region: its points, its main color, and how many are of another one; all three are read off partial counts.
+        hues = seen.groupBy("t", "color").agg(F.count(F.lit(1)).alias("k"))
+        mixed = hues.groupBy("t").agg(F.sum("k").alias("m"), F.max(F.struct("k", "color")).alias("top"))
+        mixed = mixed.where(F.col("top.k") < F.col("m")).select("t", "m", (F.col("m") - F.col("top.k")).alias("q"), F.col("top.color").alias("main"))
         region = stash(seen.join(mixed, "t"), "region")
         new = []
-        # In the first round every region has a pivot: one that overlapping regions share connects most of a group.
-        small = (F.col("last") | (F.col("m") <= LEAF)) if stage else F.lit(False)
+        # In the first round every region has a pivot: one that overlapping regions share connects most of a group. Later,
+        # where few points are of another color than the rest, they are compared with all of other colors.
+        small = (F.col("q") <= WHOLE) if stage else F.lit(False)
         if stage:
             pairs = stash(_small_pairs(region.where(small), percent), "pairs")
             told = stash(_measure(pairs, shingles), "told")
@@ -237,7 +262,7 @@ def _links(found: DataFrame, percent: int) -> DataFrame | None:
             enough = (F.col("x") != F.col("a")) & ((100 + percent) * F.col("g") >= percent * (F.col("n") + F.col("na")))
             new.append(stash(big.join(smallest, "t").where(enough).select("a", F.col("x").alias("b")).distinct(), "enough"))
             least = big.groupBy("t").agg(F.min(_rank("x")).alias("least"))
-            taken = (_rank("x") == F.col("least")) | ((F.col("m") > LEAF) & (_rank("x") < F.lit(PIVOTS << stage) / F.col("m")))
+            taken = (_rank("x") == F.col("least")) | ((F.col("m") > 4 * PIVOTS) & (_rank("x") < F.lit(PIVOTS << stage) / F.col("m")))
             marked = stash(big.join(least, "t").withColumn("pivot", taken).drop("least"), "marked")
             pivots = marked.where("pivot").select("t", F.col("x").alias("a"), F.col("n").alias("na"), F.col("color").alias("ca"))
             asked = marked.join(pivots, "t").where(F.col("x") != F.col("a"))
@@ -246,13 +271,7 @@ def _links(found: DataFrame, percent: int) -> DataFrame | None:
             asked = stash(asked.distinct(), "asked")
             told = stash(_measure(asked, shingles), "told")
             new.append(told.where(linked).select("a", "b"))
-        links += [stash(x.distinct(), "links") for x in new]
-        found_any = links[0]
-        for x in links[1:]:
-            found_any = found_any.unionByName(x)
-        old, colors = colors, components(found_any)
-        if old is not None:
-            unstash(old)
+        colors = _merged(colors, new)
         unstash(region)
         if not more:
             for x in (shingles, ranked):
@@ -266,7 +285,7 @@ def _links(found: DataFrame, percent: int) -> DataFrame | None:
 
 
 def _next(marked: DataFrame, pivots: DataFrame, told: DataFrame, colors: DataFrame, ranked: DataFrame, percent: int, radius: float) -> DataFrame:
-    """Regions (t, x, n, i, g, last) of the next round: cells of the Voronoi partition, or what is left of regions that stay whole or are parted by a shingle."""
+    """Regions (t, x, n, i, g) of the next round: cells of the Voronoi partition, or what is left of regions that stay whole or are parted by a shingle."""
     rest = _colored(marked.where(~F.col("pivot")).drop("color"), colors)
     hubs = _colored(pivots.select("t", F.col("a").alias("x")), colors).select("t", F.col("x").alias("a"), F.col("color").alias("ca"))
     far = told.select("a", F.col("b").alias("x"), (1 - F.col("both") / F.col("all")).alias("d"))
@@ -281,14 +300,14 @@ def _next(marked: DataFrame, pivots: DataFrame, told: DataFrame, colors: DataFra
     spread = kept.groupBy("t").agg(F.count(F.lit(1)).alias("held"), F.max("m").alias("m"), (F.avg((F.col("d") <= radius).cast("int")) >= 1 / PIVOTS).alias("dense"))
     fate = F.when(F.col("held") <= SPREAD * F.col("m"), "cells").when((F.col("m") <= WHOLE) | F.col("dense"), "whole").otherwise("parted")
     kept = kept.join(spread.select("t", fate.alias("fate")), "t")
-    split = kept.where("fate = 'cells'").select(F.xxhash64("t", "a").alias("t"), "x", "n", "i", "g", F.lit(False).alias("last"))
-    whole = kept.where("fate = 'whole'").select("t", "x", "n", "i", "g", (F.col("m") <= WHOLE).alias("last")).distinct()
+    split = kept.where("fate = 'cells'").select(F.xxhash64("t", "a").alias("t"), "x", "n", "i", "g")
+    whole = kept.where("fate = 'whole'").select("t", "x", "n", "i", "g").distinct()
     # The next shingle that two points share stands among the first that the misses so far leave; its place is theirs alone.
     parted = kept.where("fate = 'parted'").select("t", "x", "n", "i", "g").distinct()
     last = F.least(F.floor(F.col("n") * (100 - percent) / 100) + F.col("g"), F.col("n") - 1)
     later = ranked.select("x", F.col("i").alias("j"), F.col("t").alias("u"))
     ahead = parted.join(later, "x").where((F.col("j") > F.col("i")) & (F.col("j") <= last))
-    ahead = ahead.select(F.xxhash64("t", "u").alias("t"), "x", "n", F.col("j").alias("i"), (F.col("g") + 1).alias("g"), F.lit(False).alias("last"))
+    ahead = ahead.select(F.xxhash64("t", "u").alias("t"), "x", "n", F.col("j").alias("i"), (F.col("g") + 1).alias("g"))
     return split.unionByName(whole).unionByName(ahead)
 
 

@@ -48,9 +48,10 @@ def copies(n=9):
     return docs
 
 
-@pytest.mark.parametrize("leaf", [64, 4])
-def test_agrees_with_all_pairs(spark, as_rows, monkeypatch, leaf):
-    monkeypatch.setattr(J, "LEAF", leaf)
+@pytest.mark.parametrize("pivots", [32, 1])
+def test_agrees_with_all_pairs(spark, as_rows, monkeypatch, pivots):
+    monkeypatch.setattr(J, "PIVOTS", pivots)
+    monkeypatch.setattr(J, "WHOLE", 8 * pivots)
     docs = copies()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in as_rows(J.join(spark.createDataFrame(docs, "doc_id long, text string")))}
     assert got == brute(docs)
