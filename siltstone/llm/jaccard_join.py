@@ -20,10 +20,10 @@ Regions are then joined as in a metric tree, all of them at once:
   all cells within that window. In a cell, points of the pivot's color can be linked to
   one of another color only if their distances to the pivot differ by at most r; those
   outside of that window go.
-- Cells are regions of the next round. A region whose windows would replicate too much
-  (its points are all about equally far from its pivots) gives its
-  pairs of different colors if it is small; it stays whole, without its pivots and with more of them, while these link
-  points; else it is parted by the next shingle that two points may share.
+- Where few points are of another color than the rest, their pairs are found at once, by what the
+  places of the shared shingle leave possible. Else cells are regions of the next round. A region whose windows would replicate too much
+  (its points are all about equally far from its pivots) stays
+  whole, without its pivots and with more of them, while these link points; else it is parted by the next shingle that two points may share.
 """
 
 from __future__ import annotations
@@ -44,9 +44,9 @@ from siltstone.llm._filters import Bitmap, bitmap, release
 #: Similarity in percent and words of a shingle.
 PERCENT, K = 80, 5
 #: Pivots of a region of more than four times as many points in the first round, and twice as many in each later one.
-PIVOTS = 32
+PIVOTS = 8
 #: A region is parted into cells if these hold at most SPREAD times its points. After the first round, up to WHOLE points
-#: that are of another color than the rest of their region are compared with all points of other colors.
+#: that are of another color than the rest of their region meet all points of other colors.
 SPREAD, WHOLE = 1.5, 2048
 
 
@@ -152,7 +152,7 @@ def _candidates(docs: DataFrame, points: DataFrame, k: int, percent: int) -> Dat
 
 
 def _regions(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (t, x, n, i) of the regions of rare shared shingles (i: place in the order), their sets (x, n, s), and the places of all shared shingles."""
+    """Members (t, x, n, i, own) of the regions of rare shared shingles (i: place in the order, own: share of the point's shingles that no other has), their sets (x, n, s), and the places of all shared shingles."""
     spark = found.sparkSession
     rows = found.select("x", "n", F.explode("s").alias("t"))
     counts = stash(rows.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1), "counts")
@@ -162,7 +162,8 @@ def _regions(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Data
     release(spark)
     # Shingles of one point only are the rarest, and need no row; the rest follow by count, then by hash.
     order = Window.partitionBy("x").orderBy("m", "t")
-    ranked = rows.join(enough, "x").select("t", "x", "n", (F.col("n") - F.col("c") + F.row_number().over(order) - 1).cast("int").alias("i"))
+    place = (F.col("n") - F.col("c") + F.row_number().over(order) - 1).cast("int")
+    ranked = rows.join(enough, "x").select("t", "x", "n", place.alias("i"), (1 - F.col("c") / F.col("n")).alias("own"))
     ranked = stash(ranked, "ranked")
     release(spark)
     first = ranked.where(F.col("i") < F.col("n") - need + 1)
@@ -233,7 +234,7 @@ def _links(found: DataFrame, percent: int) -> DataFrame:
     """(node, root): the least point of each connected one."""
     spark = found.sparkSession
     rows, shingles, ranked = _regions(found, percent)
-    rows = rows.select("t", "x", "n", "i", F.lit(1).alias("g"))
+    rows = rows.withColumn("g", F.lit(1))
     radius = (100 - percent) / 100 + 1e-9
     linked = 100 * F.col("both") >= percent * F.col("all")
     colors = None
@@ -261,8 +262,10 @@ def _links(found: DataFrame, percent: int) -> DataFrame:
             smallest = big.groupBy("t").agg(F.min(F.struct("n", "x")).alias("p")).select("t", F.col("p.x").alias("a"), F.col("p.n").alias("na"))
             enough = (F.col("x") != F.col("a")) & ((100 + percent) * F.col("g") >= percent * (F.col("n") + F.col("na")))
             new.append(stash(big.join(smallest, "t").where(enough).select("a", F.col("x").alias("b")).distinct(), "enough"))
-            least = big.groupBy("t").agg(F.min(_rank("x")).alias("least"))
-            taken = (_rank("x") == F.col("least")) | ((F.col("m") > 4 * PIVOTS) & (_rank("x") < F.lit(PIVOTS << stage) / F.col("m")))
+            # The point with the fewest shingles of its own is nearest to what the group has in common.
+            first = F.struct("own", _rank("x").alias("rank"))
+            least = big.groupBy("t").agg(F.min(first).alias("least"))
+            taken = (first == F.col("least")) | ((F.col("m") > 4 * PIVOTS) & (_rank("x") < F.lit(PIVOTS << stage) / F.col("m")))
             marked = stash(big.join(least, "t").withColumn("pivot", taken).drop("least"), "marked")
             pivots = marked.where("pivot").select("t", F.col("x").alias("a"), F.col("n").alias("na"), F.col("color").alias("ca"))
             asked = marked.join(pivots, "t").where(F.col("x") != F.col("a"))
@@ -285,8 +288,15 @@ def _links(found: DataFrame, percent: int) -> DataFrame:
 
 
 def _next(marked: DataFrame, pivots: DataFrame, told: DataFrame, colors: DataFrame, ranked: DataFrame, percent: int, radius: float) -> DataFrame:
-    """Regions (t, x, n, i, g) of the next round: cells of the Voronoi partition, or what is left of regions that stay whole or are parted by a shingle."""
-    rest = _colored(marked.where(~F.col("pivot")).drop("color"), colors)
+    """Regions (t, x, n, i, own, g) of the next round: cells of the Voronoi partition, or what is left of regions that stay whole or are parted by a shingle."""
+    seen = stash(_colored(marked.drop("color"), colors), "seen")
+    hues = seen.groupBy("t", "color").agg(F.count(F.lit(1)).alias("k"))
+    open_ = hues.groupBy("t").agg(F.sum("k").alias("now"), F.max("k").alias("top")).where(F.col("top") < F.col("now"))
+    open_ = open_.select("t", (F.col("now") - F.col("top") > WHOLE).alias("many"))
+    seen = seen.join(open_, "t")
+    shape = ["t", "x", "n", "i", "own", "g"]
+    few = seen.where(~F.col("many")).select(*shape)
+    rest = seen.where(F.col("many") & ~F.col("pivot")).drop("many")
     hubs = _colored(pivots.select("t", F.col("a").alias("x")), colors).select("t", F.col("x").alias("a"), F.col("color").alias("ca"))
     far = told.select("a", F.col("b").alias("x"), (1 - F.col("both") / F.col("all")).alias("d"))
     cells = rest.join(hubs, "t").join(far, ["a", "x"])
@@ -296,19 +306,19 @@ def _next(marked: DataFrame, pivots: DataFrame, told: DataFrame, colors: DataFra
     other = F.when(F.col("color") != F.col("ca"), F.col("d"))
     bounds = cells.groupBy("t", "a").agg(F.min(other).alias("low"), F.max(other).alias("high")).where(F.col("low").isNotNull())
     window = (F.col("color") != F.col("ca")) | F.col("d").between(F.col("low") - radius, F.col("high") + radius)
-    kept = stash(cells.join(bounds, ["t", "a"]).where(window).select("t", "a", "x", "n", "i", "g", "m", "color", "d"), "kept")
+    kept = stash(cells.join(bounds, ["t", "a"]).where(window).select(*shape, "a", "m", "d"), "kept")
     spread = kept.groupBy("t").agg(F.count(F.lit(1)).alias("held"), F.max("m").alias("m"), (F.avg((F.col("d") <= radius).cast("int")) >= 1 / PIVOTS).alias("dense"))
-    fate = F.when(F.col("held") <= SPREAD * F.col("m"), "cells").when((F.col("m") <= WHOLE) | F.col("dense"), "whole").otherwise("parted")
+    fate = F.when(F.col("held") <= SPREAD * F.col("m"), "cells").when(F.col("dense"), "whole").otherwise("parted")
     kept = kept.join(spread.select("t", fate.alias("fate")), "t")
-    split = kept.where("fate = 'cells'").select(F.xxhash64("t", "a").alias("t"), "x", "n", "i", "g")
-    whole = kept.where("fate = 'whole'").select("t", "x", "n", "i", "g").distinct()
+    split = kept.where("fate = 'cells'").withColumn("t", F.xxhash64("t", "a")).select(*shape)
+    whole = kept.where("fate = 'whole'").select(*shape).distinct()
     # The next shingle that two points share stands among the first that the misses so far leave; its place is theirs alone.
-    parted = kept.where("fate = 'parted'").select("t", "x", "n", "i", "g").distinct()
+    parted = kept.where("fate = 'parted'").select(*shape).distinct()
     last = F.least(F.floor(F.col("n") * (100 - percent) / 100) + F.col("g"), F.col("n") - 1)
     later = ranked.select("x", F.col("i").alias("j"), F.col("t").alias("u"))
     ahead = parted.join(later, "x").where((F.col("j") > F.col("i")) & (F.col("j") <= last))
-    ahead = ahead.select(F.xxhash64("t", "u").alias("t"), "x", "n", F.col("j").alias("i"), (F.col("g") + 1).alias("g"))
-    return split.unionByName(whole).unionByName(ahead)
+    ahead = ahead.select(F.xxhash64("t", "u").alias("t"), "x", "n", F.col("j").alias("i"), "own", (F.col("g") + 1).alias("g"))
+    return few.unionByName(split).unionByName(whole).unionByName(ahead)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = K) -> DataFrame:
