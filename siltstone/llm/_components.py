@@ -50,3 +50,28 @@ def _small(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     tied = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _clean(tied.unionByName(least.select("a", F.col("m").alias("b"))))
+
+
+def colored(rows: DataFrame, colors: DataFrame | None, node: str = "x") -> DataFrame:
+    """Rows with ``color``: the least node that theirs is connected with so far; colors: (node, root)."""
+    if colors is None:
+        return rows.withColumn("color", F.col(node))
+    return rows.join(colors.select(F.col("node").alias(node), "root"), node, "left").withColumn("color", F.coalesce("root", node)).drop("root")
+
+
+def merged(colors: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after new links (a, b): these connect roots, so each round's graph has only what the rounds before left apart."""
+    if colors is None:
+        return stash(components(links), "colors")
+    both = colored(links.select(F.col("a").alias("x"), "b"), colors).select(F.col("color").alias("a"), F.col("b").alias("x"))
+    edges = stash(colored(both, colors).select("a", F.col("color").alias("b")).where("a <> b").distinct(), "edges")
+    if not edges.limit(1).count():
+        return colors
+    roots = components(edges)
+    moved = colors.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    old = moved.select("node", F.coalesce("to", "root").alias("root"))
+    fresh = roots.join(colors.select("node"), "node", "left_anti")
+    out = stash(old.unionByName(fresh), "colors")
+    for x in (colors, edges):
+        unstash(x)
+    return out

@@ -38,7 +38,7 @@ from pyspark.sql import Window
 
 from siltstone.llm import _shingles as S
 from siltstone.llm._common import free_name, python_ready, stash, unstash
-from siltstone.llm._components import components
+from siltstone.llm._components import colored, merged
 from siltstone.llm._filters import Bitmap, bitmap, release
 
 #: Similarity in percent and words of a shingle.
@@ -204,32 +204,6 @@ def _rank(x: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(x)), 11) / float(1 << 53)
 
 
-def _colored(rows: DataFrame, colors: DataFrame | None) -> DataFrame:
-    """Rows with ``color``: the least point that theirs is connected with so far."""
-    if colors is None:
-        return rows.withColumn("color", F.col("x"))
-    return rows.join(colors.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("color", F.coalesce("root", "x")).drop("root")
-
-
-def _merged(colors: DataFrame | None, new: list[DataFrame]) -> DataFrame:
-    """(node, root) after new links: these connect roots, so each round's graph has only what the rounds before left apart."""
-    links = new[0] if len(new) == 1 else new[0].unionByName(new[1]) if len(new) == 2 else new[0].unionByName(new[1]).unionByName(new[2])
-    if colors is None:
-        return stash(components(links), "colors")
-    both = _colored(links.select(F.col("a").alias("x"), "b"), colors).select(F.col("color").alias("a"), F.col("b").alias("x"))
-    edges = stash(_colored(both, colors).select("a", F.col("color").alias("b")).where("a <> b").distinct(), "edges")
-    if not edges.limit(1).count():
-        return colors
-    roots = components(edges)
-    moved = colors.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-    old = moved.select("node", F.coalesce("to", "root").alias("root"))
-    fresh = roots.join(colors.select("node"), "node", "left_anti")
-    out = stash(old.unionByName(fresh), "colors")
-    for x in (colors, edges):
-        unstash(x)
-    return out
-
-
 def _links(found: DataFrame, percent: int) -> DataFrame:
     """(node, root): the least point of each connected one."""
     spark = found.sparkSession
@@ -240,7 +214,7 @@ def _links(found: DataFrame, percent: int) -> DataFrame:
     colors = None
     stage = 0
     while True:
-        seen = _colored(rows, colors)
+        seen = colored(rows, colors)
         # Of each region: its points, its main color, and how many are of another one; all three are read off partial counts.
         hues = seen.groupBy("t", "color").agg(F.count(F.lit(1)).alias("k"))
         mixed = hues.groupBy("t").agg(F.sum("k").alias("m"), F.max(F.struct("k", "color")).alias("top"))
@@ -274,7 +248,10 @@ def _links(found: DataFrame, percent: int) -> DataFrame:
             asked = stash(asked.distinct(), "asked")
             told = stash(_measure(asked, shingles), "told")
             new.append(told.where(linked).select("a", "b"))
-        colors = _merged(colors, new)
+        links = new[0]
+        for x in new[1:]:
+            links = links.unionByName(x)
+        colors = merged(colors, links)
         unstash(region)
         if not more:
             for x in (shingles, ranked):
@@ -289,7 +266,7 @@ def _links(found: DataFrame, percent: int) -> DataFrame:
 
 def _next(marked: DataFrame, pivots: DataFrame, told: DataFrame, colors: DataFrame, ranked: DataFrame, percent: int, radius: float) -> DataFrame:
     """Regions (t, x, n, i, own, g) of the next round: cells of the Voronoi partition, or what is left of regions that stay whole or are parted by a shingle."""
-    seen = stash(_colored(marked.drop("color"), colors), "seen")
+    seen = stash(colored(marked.drop("color"), colors), "seen")
     hues = seen.groupBy("t", "color").agg(F.count(F.lit(1)).alias("k"))
     open_ = hues.groupBy("t").agg(F.sum("k").alias("now"), F.max("k").alias("top")).where(F.col("top") < F.col("now"))
     open_ = open_.select("t", (F.col("now") - F.col("top") > WHOLE).alias("many"))
@@ -297,7 +274,7 @@ def _next(marked: DataFrame, pivots: DataFrame, told: DataFrame, colors: DataFra
     shape = ["t", "x", "n", "i", "own", "g"]
     few = seen.where(~F.col("many")).select(*shape)
     rest = seen.where(F.col("many") & ~F.col("pivot")).drop("many")
-    hubs = _colored(pivots.select("t", F.col("a").alias("x")), colors).select("t", F.col("x").alias("a"), F.col("color").alias("ca"))
+    hubs = colored(pivots.select("t", F.col("a").alias("x")), colors).select("t", F.col("x").alias("a"), F.col("color").alias("ca"))
     far = told.select("a", F.col("b").alias("x"), (1 - F.col("both") / F.col("all")).alias("d"))
     cells = rest.join(hubs, "t").join(far, ["a", "x"])
     nearest = cells.groupBy("t", "x").agg(F.min("d").alias("near"))

@@ -1,20 +1,21 @@
 """Fuzzy deduplication of lines, in Spark expressions only.
 
 Lines are normalised (lower case, runs of anything but letters and digits become one
-space). Each gets a 64-bit SimHash of its word pairs (single words would let the
-commonest words decide most bits): a pair's hash bits are spread into lanes of packed
-integers, so that one plain sum counts many bits, and sums are combined before the
-shuffle. Distinct lines are joined on blocks of fingerprint bits: of ``radius + 2``
-blocks, two fingerprints within the radius agree in two at least, so every pair of
-blocks is a key. Candidates are verified by Hamming distance and edit similarity. One
-occurrence of each connected group stays: the first by document and line.
-
-A bucket (lines with one key) of up to LEAF lines gives its pairs. All lines of a larger
-one are first compared with one of them: those that it links are connected, and go on only
-where a line that it does not link is near enough (triangle inequality). What goes on is
-parted again: the remaining bits form ``radius + 1`` blocks, of which two fingerprints
-within the radius agree in one, and each block extends the key. So the work follows the
-number of lines, not its square, whatever the bucket, and no link is lost.
+space). Each gets a 64-bit SimHash of its word pairs, in BLOCKS blocks of bits: a pair
+belongs to one block, by its hash, and votes for the bits of that block alone. So an
+edit changes bits only in the blocks of the pairs that it touches: a changed word is in
+two pairs, which leave three of five blocks as they are (pigeonhole). A pair's hash bits
+are spread into lanes of packed integers, so that one plain sum counts many bits, and
+sums are combined before the shuffle. Distinct lines are joined on every choice of two
+blocks. Candidates are those within RADIUS bits whose lengths fit; their edit similarity
+is verified.
+
+All lines of a bucket (lines with one key) are first compared with one of them, the same
+in all buckets that it is in; what is linked gets one color (its component so far), in
+all buckets at once. Then lines of another color than most of their bucket meet those of
+other colors. Where such lines are many, pivots go on as in the first step, twice as many
+each time. Only pairs within the radius leave a join, so the rows follow the number of
+lines, not its square, and no link is lost.
 """
 
 from __future__ import annotations
@@ -24,16 +25,19 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import stash, unstash
-from siltstone.llm._components import components
+from siltstone.llm._common import free_name, stash, unstash
+from siltstone.llm._components import colored, merged
+from siltstone.llm._filters import release
 
 #: Fingerprints within RADIUS bits whose lines' edit similarity is SIMILARITY at least are linked.
-RADIUS, SIMILARITY = 3, 0.9
-#: Buckets of up to LEAF lines give all pairs; so do those whose keys have all but LAST bits.
-LEAF, LAST = 16, 6
+RADIUS, SIMILARITY, BLOCKS = 12, 0.9, 5
+#: Lines of other colors that meet the rest of their bucket; pivots of a bucket with more.
+WHOLE, PIVOTS = 2048, 8
 _LANE = 32  # bits of a lane, which no text's words fill; two lanes are a long
 _GROUPS = 32  # longs for 64 lanes
 _FILTER_BITS = 22
+#: The bits of block c are those from EDGES[c] below EDGES[c + 1].
+EDGES = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
 
 def normalised(line: Column) -> Column:
@@ -48,47 +52,50 @@ def _packed(h: Column, group: int) -> Column:
 
 
 def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per line that has a letter or digit: d, v (document and version of its text), p (line from 0), h (hash), f (fingerprint)."""
+    """One row per line that has a letter or digit: d, v (document and version of its text), p (line from 0), h (hash), f (fingerprint),
+    e (bit set of the blocks that no pair votes for) and len (its characters)."""
     lines = docs.select(
         F.col(doc_id).alias("d"), F.xxhash64(text).alias("v"), F.posexplode(F.split(F.col(text), "\n")).alias("p", "line")
     ).select("d", "v", "p", normalised(F.col("line")).alias("line"))
-    split = lines.where(F.col("line") != "").select("d", "v", "p", F.xxhash64("line").alias("h"), F.split("line", " ").alias("w"))
-    pairs = F.transform("w", lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1)))
-    hashed = split.select("d", "v", "p", "h", F.explode(pairs).alias("x"))
-    sums = hashed.groupBy("d", "v", "p").agg(
-        F.first("h").alias("h"), F.count(F.lit(1)).alias("n"), *[F.sum(_packed(F.col("x"), g)).alias(f"s{g}") for g in range(_GROUPS)]
+    split = lines.where(F.col("line") != "").select(
+        "d", "v", "p", F.xxhash64("line").alias("h"), F.char_length("line").alias("len"), F.split("line", " ").alias("w")
     )
-    print_ = F.lit(0).cast("long")
-    for bit in range(64):
-        lane = F.shiftrightunsigned(F.col(f"s{bit // 2}"), _LANE * (bit % 2)).bitwiseAND(F.lit((1 << _LANE) - 1))
-        one = (1 << bit) - (1 << 64 if bit == 63 else 0)
-        print_ = print_.bitwiseOR(F.when(2 * lane > F.col("n"), F.lit(one)).otherwise(F.lit(0).cast("long")))
-    return sums.select("d", "v", "p", "h", print_.alias("f"))
-
-
-def _cut(x: Column, edges: list[int]) -> list[Column]:
-    """Bits of x between each two edges, counted from the lowest."""
-    return [F.shiftrightunsigned(x, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-
-
-def _join_bits(parts: list[tuple[Column, int]]) -> Column:
-    """Parts and their widths, packed into one long."""
-    out, at = F.lit(0).cast("long"), 0
-    for part, width in parts:
-        out, at = out.bitwiseOR(F.shiftleft(part, at)), at + width
-    return out
-
-
-def _keys(x: Column, width: int, blocks: int, chosen: int) -> tuple[Column, int]:
-    """Array of struct<k, rest>: the keys of each choice of blocks, and the bits that it leaves, with the most that any leaves."""
-    edges = [width * i // blocks for i in range(blocks + 1)]
-    parts = list(zip(_cut(x, edges), [b - a for a, b in zip(edges, edges[1:])]))
-    out, most = [], 0
-    for number, own in enumerate(combinations(range(blocks), chosen)):
-        rest = [parts[i] for i in range(blocks) if i not in own]
-        most = max(most, sum(w for _, w in rest))
-        out.append(F.struct(F.xxhash64(F.lit(number), *[parts[i][0] for i in own]).alias("k"), _join_bits(rest).alias("rest")))
-    return F.array(*out), most
+    pairs = F.transform("w", lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1)))
+    block = F.pmod(F.shiftrightunsigned("x", 32) * 3 + F.col("x"), F.lit(BLOCKS)).cast("int")
+    hashed = split.select("d", "v", "p", "h", "len", F.explode(pairs).alias("x")).withColumn("c", block)
+    own = F.lit(0).cast("long")
+    for c, (low, high) in enumerate(zip(EDGES, EDGES[1:])):
+        own = F.when(F.col("c") == c, F.lit(_signed((1 << high) - (1 << low)))).otherwise(own)
+    voted = hashed.withColumn("x", F.col("x").bitwiseAND(own))
+    sums = voted.groupBy("d", "v", "p").agg(
+        F.first("h").alias("h"), F.first("len").alias("len"),
+        *[F.sum((F.col("c") == c).cast("long")).alias(f"n{c}") for c in range(BLOCKS)],
+        *[F.sum(_packed(F.col("x"), g)).alias(f"s{g}") for g in range(_GROUPS)],
+    )
+    print_, empty = F.lit(0).cast("long"), F.lit(0)
+    for c, (low, high) in enumerate(zip(EDGES, EDGES[1:])):
+        empty = empty.bitwiseOR(F.when(F.col(f"n{c}") == 0, F.lit(1 << c)).otherwise(F.lit(0)))
+        for bit in range(low, high):
+            lane = F.shiftrightunsigned(F.col(f"s{bit // 2}"), _LANE * (bit % 2)).bitwiseAND(F.lit((1 << _LANE) - 1))
+            print_ = print_.bitwiseOR(F.when(2 * lane > F.col(f"n{c}"), F.lit(_signed(1 << bit))).otherwise(F.lit(0).cast("long")))
+    return sums.select("d", "v", "p", "h", print_.alias("f"), empty.alias("e"), "len")
+
+
+def _signed(x: int) -> int:
+    """An unsigned 64-bit number as Spark's long."""
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _keys() -> Column:
+    """Keys of a line: each two blocks that pairs vote for; the whole fingerprint where there are no two."""
+    parts = [F.shiftrightunsigned(F.col("f"), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(EDGES, EDGES[1:])]
+    out = []
+    for i, j in combinations(range(BLOCKS), 2):
+        some = F.col("e").bitwiseAND(F.lit(1 << i | 1 << j)) == 0
+        out.append(F.when(some, F.xxhash64(F.lit(i * BLOCKS + j), parts[i], parts[j])))
+    few = F.bit_count("e") > BLOCKS - 2
+    out.append(F.when(few, F.xxhash64(F.lit(-1), "f", "e")))
+    return F.array_compact(F.array(*out))
 
 
 def bit_table(keys: DataFrame, column: str) -> DataFrame:
@@ -106,57 +113,53 @@ def maybe_in(rows: DataFrame, column: str, table: DataFrame) -> DataFrame:
     return tested.where(F.expr(f"shiftrightunsigned(bits, cast(shiftrightunsigned(xxhash64({column}), {64 - _FILTER_BITS}) & 63 as int)) & 1 = 1")).drop("slot", "bits")
 
 
+def _near(radius: int, least: float) -> Column:
+    """Whether two lines (f, len and fb, lenb) may be linked."""
+    short, long = F.least("len", "lenb"), F.greatest("len", "lenb")
+    return (F.bit_count(F.col("f").bitwiseXOR(F.col("fb"))) <= radius) & (long - short <= F.floor(long * (1 - least) + 1e-9))
+
+
 def find_links(docs: DataFrame, text: str, points: DataFrame, radius: int, least: float) -> DataFrame:
-    """(a, b): links between points (h, f), enough of them to connect whatever is connected."""
-    keys, width = _keys(F.col("f"), 64, radius + 2, 2)
-    none = F.lit(None).cast("long")
-    rows = points.select("h", "f", F.explode(keys).alias("key")).select("key.k", "h", "f", "key.rest", none.alias("color"))
-    links = texts = None
+    """(node, root) of lines that are linked: points are (h, f, e, len)."""
+    spark = docs.sparkSession
+    rows = points.select("h", "f", "len", F.explode(_keys()).alias("k"))
+    sizes = stash(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("k"), "buckets")
+    rows = stash(maybe_in(rows, "k", bit_table(sizes, "k")).join(sizes, "k", "left_semi"), "members")
+    unstash(sizes)
+    release(spark)
+    rank = F.shiftrightunsigned(F.xxhash64("h"), 11) / float(1 << 53)
+    colors, stage = None, 0
     while True:
-        sizes = rows.groupBy("k").agg(
-            F.count(F.lit(1)).alias("n"), F.count_distinct("color").alias("s"), F.count(F.when(F.col("color").isNull(), 1)).alias("plain")
-        )
-        sizes = sizes.where((F.col("n") > 1) & ((F.col("plain") > 1) | (F.col("plain") + F.col("s") > 1))).select("k", "n")
-        sizes = stash(sizes, "buckets")
-        members = stash(maybe_in(rows, "k", bit_table(sizes, "k")).join(sizes, "k"), "members")
-        unstash(sizes)
-        last = width <= LAST
-        small = members if last else members.where(F.col("n") <= LEAF)
-        mates = small.select("k", F.col("h").alias("b"), F.col("f").alias("fb"), F.col("color").alias("cb"))
-        near = F.bit_count(F.col("f").bitwiseXOR(F.col("fb"))) <= radius
-        apart = F.col("color").isNull() | F.col("cb").isNull() | (F.col("color") != F.col("cb"))
-        pairs = small.join(mates, "k").where((F.col("h") < F.col("b")) & near & apart)
-        pairs = stash(pairs.select(F.col("h").alias("a"), "b").distinct(), "pairs")
-        big = members.where(F.lit(not last) & (F.col("n") > LEAF))
-        if texts is None:  # of all lines that will be compared, now or later
-            texts = _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(big.select("h")).distinct())
-        new = _verified(pairs, texts, least)
-        links = new if links is None else links.unionByName(new)
-        if not big.limit(1).count():
-            return links
-        first = F.min(F.struct(F.col("color").isNotNull().alias("c"), F.xxhash64("h").alias("x"), "h", "f", F.col("color").alias("own")))
-        pivots = big.groupBy("k").agg(first.alias("p")).select("k", F.col("p.h").alias("a"), F.col("p.f").alias("fa"), F.col("p.own").alias("own"))
-        met = big.join(pivots, "k").where(F.col("h") != F.col("a")).withColumn("d", F.bit_count(F.col("f").bitwiseXOR(F.col("fa"))))
-        asked = met.where(F.col("d") <= radius).select("a", F.col("h").alias("b")).distinct()
-        told = stash(_verified(asked, texts, least), "told")
-        links = links.unionByName(told)
-        after = met.join(told.select("a", F.col("b").alias("h"), F.lit(True).alias("now")), ["a", "h"], "left")
-        after = stash(after.withColumn("now", F.coalesce("now", F.lit(False))), "after")
-        # Lines that the pivot links, and all lines connected with one of them before, are of the pivot's color now.
-        merged = after.where(F.col("now") & F.col("color").isNotNull()).select("k", "color").distinct().withColumn("same", F.lit(True))
-        mine = F.col("now") | F.coalesce("same", F.lit(False)) | F.coalesce(F.col("color") == F.col("own"), F.lit(False))
-        colored = after.join(merged, ["k", "color"], "left").select(
-            "k", "h", "f", "rest", "d", F.when(mine, F.col("a")).otherwise(F.col("color")).alias("color"), mine.alias("mine")
-        )
-        colored = stash(colored, "colored")
-        left = colored.where(~F.col("mine")).groupBy("k").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-        window = F.col("d").between(F.col("low") - radius, F.col("high") + radius)
-        on = colored.join(left, "k").where(~F.col("mine") | window)
-        keys, width = _keys(F.col("rest"), width, radius + 1, 1)
-        rows = on.select("h", "f", "color", F.col("k").alias("above"), F.explode(keys).alias("key")).select(
-            F.xxhash64("above", "key.k").alias("k"), "h", "f", "key.rest", "color"
-        )
-        unstash(after)
+        seen = colored(rows, colors, "h")
+        hues = seen.groupBy("k", "color").agg(F.count(F.lit(1)).alias("n"))
+        mixed = hues.groupBy("k").agg(F.sum("n").alias("m"), F.max(F.struct("n", "color")).alias("top")).where(F.col("top.n") < F.col("m"))
+        mixed = mixed.select("k", "m", (F.col("m") - F.col("top.n")).alias("q"), F.col("top.color").alias("main"))
+        bucket = seen.join(mixed, "k")
+        bucket = stash(bucket, "bucket")
+        few = (F.col("q") <= WHOLE) if stage else F.lit(False)
+        many = bucket.where(~few)
+        lowest = many.groupBy("k").agg(F.min(F.struct(rank.alias("r"), "h")).alias("p")).select("k", "p.h")
+        picked = many.select("k", "h", "f", "len", "color").join(lowest, ["k", "h"])
+        if stage:
+            picked = picked.unionByName(many.where(rank < F.lit(PIVOTS << stage) / F.col("m")).select(*picked.columns)).distinct()
+        mates = bucket.where(few & (F.col("color") != F.col("main"))).select(*picked.columns).unionByName(picked)
+        mates = mates.select("k", F.col("h").alias("b"), F.col("f").alias("fb"), F.col("len").alias("lenb"), F.col("color").alias("cb"))
+        pairs = bucket.join(mates, "k").where((F.col("color") != F.col("cb")) & _near(radius, least))
+        pairs = stash(pairs.select(F.least("h", "b").alias("a"), F.greatest("h", "b").alias("b")).distinct(), "pairs")
+        new = stash(_verified(pairs, _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()), least), "links")
+        colors = merged(colors, new)
+        unstash(pairs)
+        unstash(new)
+        if stage and not many.limit(1).count():
+            unstash(bucket)
+            return colors
+        # Pivots have met all others of their bucket.
+        left = many.join(picked.select("k", "h"), ["k", "h"], "left_anti") if stage else many
+        old, rows = rows, stash(left.select("h", "f", "len", "k"), "members")
+        unstash(bucket)
+        unstash(old)
+        release(spark)
+        stage += 1
 
 
 def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -174,7 +177,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     longest = F.greatest(F.char_length("la"), F.char_length("lb"))
     allowed = F.floor(longest * (1 - least) + 1e-9).cast("int")
     fits = F.abs(F.char_length("la") - F.char_length("lb")) <= allowed
-    return both.where(fits & (F.levenshtein("la", "lb") <= allowed)).select("a", "b")
+    # With a limit, Spark computes only a band of the matrix, and gives -1 beyond it: narrow bands come first.
+    bands = [f"nullif(levenshtein(la, lb, cast(allowed div {part} as int)), -1)" for part in (16, 4, 1)]
+    return both.withColumn("allowed", allowed).where(fits & F.expr(f"coalesce({', '.join(bands)})").isNotNull()).select("a", "b")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
@@ -183,10 +188,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
     v is a hash of the document's text: equal rows (same id, same text) are one document, whose lines count once.
     """
     lines = stash(line_table(docs, doc_id, text), "lines")
-    distinct = stash(lines.groupBy("h").agg(F.first("f").alias("f")), "distinct-lines")
-    edges = find_links(docs, text, distinct, radius, least)
-    roots = components(edges).select(F.col("node").alias("h"), "root")
-    grouped = stash(lines.join(roots, "h", "left").select("d", "v", "p", "h", F.coalesce("root", "h").alias("g")), "grouped-lines")
+    distinct = stash(lines.groupBy("h").agg(*[F.first(c).alias(c) for c in ("f", "e", "len")]), "distinct-lines")
+    roots = find_links(docs, text, distinct, radius, least).select(F.col("node").alias("h"), "root")
+    unstash(distinct)
+    grouped = stash(lines.select("d", "v", "p", "h").join(roots, "h", "left").select("d", "v", "p", "h", F.coalesce("root", "h").alias("g")), "grouped-lines")
+    unstash(lines)
     first = grouped.groupBy("g").agg(F.min(F.struct("d", "v", "p")).alias("first"))
     return grouped.join(first, "g").select("d", "v", "p", "h", "g", F.struct("d", "v", "p").eqNullSafe(F.col("first")).alias("kept"))
 
@@ -197,9 +203,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     Lines without letters or digits are never dropped. Null texts stay null. Equal rows keep the same lines. A document
     all of whose lines are dropped has an empty text. Null ids come first in the order of occurrences.
     """
-    gone = groups(docs, doc_id, text, radius, least).where(~F.col("kept")).groupBy("d", "v").agg(F.collect_set("p").alias("gone"))
-    marked = docs.withColumn("the version", F.xxhash64(text))
-    joined = marked.join(gone, marked[doc_id].eqNullSafe(gone["d"]) & (marked["the version"] == gone["v"]), "left")
+    v, d, w, gone = (free_name(docs.columns, x) for x in ("version", "of_doc", "of_version", "gone"))
+    out = groups(docs, doc_id, text, radius, least).where(~F.col("kept")).groupBy(F.col("d").alias(d), F.col("v").alias(w)).agg(F.collect_set("p").alias(gone))
+    marked = docs.withColumn(v, F.xxhash64(text))
+    joined = marked.join(out, F.col(f"`{doc_id}`").eqNullSafe(F.col(d)) & (F.col(v) == F.col(w)), "left")
     lines = F.split(F.col(text), "\n")
-    left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")
-    return joined.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
+    left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(gone, i), x)), lambda x: x.isNotNull()), "\n")
+    return joined.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(left)).select(*[f"`{c}`" for c in docs.columns])
