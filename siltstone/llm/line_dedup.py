@@ -31,10 +31,12 @@ from siltstone.llm._filters import release
 
 #: Fingerprints within RADIUS bits whose lines' edit similarity is SIMILARITY at least are linked.
 RADIUS, SIMILARITY, BLOCKS = 12, 0.9, 5
+#: Where both lines have as many words, the edit similarity is counted in words, else in characters.
+LONG = 20
 #: Lines of other colors that meet the rest of their bucket; pivots of a bucket with more.
 WHOLE, PIVOTS = 2048, 8
-_LANE = 32  # bits of a lane, which no text's words fill; two lanes are a long
-_GROUPS = 32  # longs for 64 lanes
+#: Lines of fewer words have sums in lanes of 16 bits, four to a long; others in lanes of 32 bits, which no text's words fill.
+WORDS = 1 << 15
 _FILTER_BITS = 22
 #: The bits of block c are those from EDGES[c] below EDGES[c + 1].
 EDGES = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
@@ -45,13 +47,15 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _packed(h: Column, group: int) -> Column:
-    """Two bits of a hash, each in a lane of its own."""
-    two = F.shiftrightunsigned(h, 2 * group).bitwiseAND(F.lit(3))
-    return (two * F.lit(1 + (1 << (_LANE - 1)))).bitwiseAND(F.lit(1 + (1 << _LANE)))
+def _packed(h: Column, group: int, lane: int) -> Column:
+    """The bits of a hash from which a long's lanes count, each in the lowest place of its lane."""
+    many = 64 // lane
+    bits = F.shiftrightunsigned(h, many * group).bitwiseAND(F.lit((1 << many) - 1))
+    spread = sum(1 << ((lane - 1) * i) for i in range(many))
+    return (bits * F.lit(spread)).bitwiseAND(F.lit(sum(1 << (lane * i) for i in range(many))))
 
 
-def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def line_table(docs: DataFrame, doc_id: str, text: str, lane: int | None = None) -> DataFrame:
     """One row per line that has a letter or digit: d, v (document and version of its text), p (line from 0), h (hash), f (fingerprint),
     e (bit set of the blocks that no pair votes for) and len (its characters)."""
     lines = docs.select(
@@ -60,25 +64,46 @@ def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     split = lines.where(F.col("line") != "").select(
         "d", "v", "p", F.xxhash64("line").alias("h"), F.char_length("line").alias("len"), F.split("line", " ").alias("w")
     )
+    # A line of that many words has more characters, so few texts are read for the second part.
+    long = docs.where(F.char_length(text) >= 2 * WORDS - 1)
+    if lane is not None:
+        return _prints(split, lane)
+    return _prints(split.where(F.size("w") < WORDS), 16).unionByName(line_table(long, doc_id, text, 32).where(F.col("words") >= WORDS)).drop("words")
+
+
+def _prints(split: DataFrame, lane: int) -> DataFrame:
+    """Fingerprints of lines (d, v, p, h, len, w: words)."""
     pairs = F.transform("w", lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1)))
     block = F.pmod(F.shiftrightunsigned("x", 32) * 3 + F.col("x"), F.lit(BLOCKS)).cast("int")
     hashed = split.select("d", "v", "p", "h", "len", F.explode(pairs).alias("x")).withColumn("c", block)
-    own = F.lit(0).cast("long")
+    own, many = F.lit(0).cast("long"), 64 // lane
     for c, (low, high) in enumerate(zip(EDGES, EDGES[1:])):
         own = F.when(F.col("c") == c, F.lit(_signed((1 << high) - (1 << low)))).otherwise(own)
+
+    def one(group: int) -> Column:  # blocks are counted in lanes too
+        out = F.lit(0).cast("long")
+        for c in range(group * many, min(BLOCKS, (group + 1) * many)):
+            out = F.when(F.col("c") == c, F.lit(1 << (lane * (c - group * many)))).otherwise(out)
+        return F.sum(out).alias(f"n{group}")
+
+    votes = [one(g) for g in range(-(-BLOCKS // many))]
     voted = hashed.withColumn("x", F.col("x").bitwiseAND(own))
     sums = voted.groupBy("d", "v", "p").agg(
-        F.first("h").alias("h"), F.first("len").alias("len"),
-        *[F.sum((F.col("c") == c).cast("long")).alias(f"n{c}") for c in range(BLOCKS)],
-        *[F.sum(_packed(F.col("x"), g)).alias(f"s{g}") for g in range(_GROUPS)],
-    )
+        F.first("h").alias("h"), F.first("len").alias("len"), *votes, *[F.sum(_packed(F.col("x"), g, lane)).alias(f"s{g}") for g in range(64 // many)]
+    )
+
+    def count(kind: str, at: int) -> Column:
+        return F.shiftrightunsigned(F.col(f"{kind}{at // many}"), lane * (at % many)).bitwiseAND(F.lit((1 << lane) - 1))
+
     print_, empty = F.lit(0).cast("long"), F.lit(0)
     for c, (low, high) in enumerate(zip(EDGES, EDGES[1:])):
-        empty = empty.bitwiseOR(F.when(F.col(f"n{c}") == 0, F.lit(1 << c)).otherwise(F.lit(0)))
+        empty = empty.bitwiseOR(F.when(count("n", c) == 0, F.lit(1 << c)).otherwise(F.lit(0)))
         for bit in range(low, high):
-            lane = F.shiftrightunsigned(F.col(f"s{bit // 2}"), _LANE * (bit % 2)).bitwiseAND(F.lit((1 << _LANE) - 1))
-            print_ = print_.bitwiseOR(F.when(2 * lane > F.col(f"n{c}"), F.lit(_signed(1 << bit))).otherwise(F.lit(0).cast("long")))
-    return sums.select("d", "v", "p", "h", print_.alias("f"), empty.alias("e"), "len")
+            print_ = print_.bitwiseOR(F.when(2 * count("s", bit) > count("n", c), F.lit(_signed(1 << bit))).otherwise(F.lit(0).cast("long")))
+    words = count("n", 0)
+    for c in range(1, BLOCKS):
+        words = words + count("n", c)
+    return sums.select("d", "v", "p", "h", print_.alias("f"), empty.alias("e"), "len", words.alias("words"))
 
 
 def _signed(x: int) -> int:
@@ -119,8 +144,8 @@ def _near(radius: int, least: float) -> Column:
     return (F.bit_count(F.col("f").bitwiseXOR(F.col("fb"))) <= radius) & (long - short <= F.floor(long * (1 - least) + 1e-9))
 
 
-def find_links(docs: DataFrame, text: str, points: DataFrame, radius: int, least: float) -> DataFrame:
-    """(node, root) of lines that are linked: points are (h, f, e, len)."""
+def find_links(docs: DataFrame, doc_id: str, text: str, points: DataFrame, radius: int, least: float) -> DataFrame:
+    """(node, root) of lines that are linked: points are (h, f, e, len, d: id of a document that has it)."""
     spark = docs.sparkSession
     rows = points.select("h", "f", "len", F.explode(_keys()).alias("k"))
     sizes = stash(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("k"), "buckets")
@@ -146,7 +171,7 @@ def find_links(docs: DataFrame, text: str, points: DataFrame, radius: int, least
         mates = mates.select("k", F.col("h").alias("b"), F.col("f").alias("fb"), F.col("len").alias("lenb"), F.col("color").alias("cb"))
         pairs = bucket.join(mates, "k").where((F.col("color") != F.col("cb")) & _near(radius, least))
         pairs = stash(pairs.select(F.least("h", "b").alias("a"), F.greatest("h", "b").alias("b")).distinct(), "pairs")
-        new = stash(_verified(pairs, _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()), least), "links")
+        new = stash(_verified(pairs, _texts(docs, doc_id, text, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(points.select("h", "d"), "h")), least), "links")
         colors = merged(colors, new)
         unstash(pairs)
         unstash(new)
@@ -162,24 +187,34 @@ def find_links(docs: DataFrame, text: str, points: DataFrame, radius: int, least
         stage += 1
 
 
-def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(h, line) of the wanted hashes of lines."""
+def _texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(h, line) of the wanted hashes of lines, from the documents d that have them."""
     wanted = stash(wanted, "wanted")
-    raw = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(normalised(F.col("line")).alias("line"))
+    of = maybe_in(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")), "d", bit_table(wanted, "d"))
+    raw = of.select(F.explode(F.split("t", "\n")).alias("line")).select(normalised(F.col("line")).alias("line"))
     found = maybe_in(raw.select(F.xxhash64("line").alias("h"), "line"), "h", bit_table(wanted, "h")).join(wanted, "h", "left_semi")
     return stash(found.groupBy("h").agg(F.first("line").alias("line")), "texts")
 
 
+def _coded(line: Column) -> Column:
+    """A line with one character a word, by a hash of the word: its edit distances are counted in words."""
+    code = F.transform(F.split(line, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(50_000)) + F.lit(256)), 4, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs whose lines' edit similarity is ``least`` or more; texts: h, line."""
-    left = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a")
-    both = left.join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-    longest = F.greatest(F.char_length("la"), F.char_length("lb"))
-    allowed = F.floor(longest * (1 - least) + 1e-9).cast("int")
-    fits = F.abs(F.char_length("la") - F.char_length("lb")) <= allowed
-    # With a limit, Spark computes only a band of the matrix, and gives -1 beyond it: narrow bands come first.
-    bands = [f"nullif(levenshtein(la, lb, cast(allowed div {part} as int)), -1)" for part in (16, 4, 1)]
-    return both.withColumn("allowed", allowed).where(fits & F.expr(f"coalesce({', '.join(bands)})").isNotNull()).select("a", "b")
+    """The pairs whose lines' edit similarity is ``least`` or more; texts: h, line.
+
+    It is counted in words where both lines have LONG words or more, else in characters.
+    """
+    told = texts.select("h", F.when(F.size(F.split("line", " ")) >= LONG, _coded(F.col("line"))).alias("code"), "line")
+    left = pairs.join(told.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("code").alias("ca")), "a")
+    both = left.join(told.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("code").alias("cb")), "b")
+    words = F.col("ca").isNotNull() & F.col("cb").isNotNull()
+    both = both.select("a", "b", F.when(words, F.col("ca")).otherwise(F.col("la")).alias("x"), F.when(words, F.col("cb")).otherwise(F.col("lb")).alias("y"))
+    allowed = F.floor(F.greatest(F.char_length("x"), F.char_length("y")) * (1 - least) + 1e-9).cast("int")
+    # With a limit, Spark computes only a band of the matrix, and gives -1 beyond it.
+    return both.withColumn("allowed", allowed).where(F.expr("levenshtein(x, y, allowed) >= 0")).select("a", "b")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
@@ -188,8 +223,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
     v is a hash of the document's text: equal rows (same id, same text) are one document, whose lines count once.
     """
     lines = stash(line_table(docs, doc_id, text), "lines")
-    distinct = stash(lines.groupBy("h").agg(*[F.first(c).alias(c) for c in ("f", "e", "len")]), "distinct-lines")
-    roots = find_links(docs, text, distinct, radius, least).select(F.col("node").alias("h"), "root")
+    distinct = stash(lines.groupBy("h").agg(*[F.first(c).alias(c) for c in ("f", "e", "len", "d")]), "distinct-lines")
+    roots = find_links(docs, doc_id, text, distinct, radius, least).select(F.col("node").alias("h"), "root")
     unstash(distinct)
     grouped = stash(lines.select("d", "v", "p", "h").join(roots, "h", "left").select("d", "v", "p", "h", F.coalesce("root", "h").alias("g")), "grouped-lines")
     unstash(lines)

@@ -39,16 +39,16 @@ esc AS (
   SELECT *, regexp_replace(text, '(<|\[)(\\*)(/?s>|role/>|turn/>|/?INST\])', '\1\\\2\3', 'g') AS body,
          regexp_replace(role, '(<|\[)(\\*)(/?s>|role/>|turn/>|/?INST\])', '\1\\\2\3', 'g') AS erole FROM rows),
 marked AS (
-  SELECT *, row_number() OVER w AS at, coalesce(lag(role) OVER w <> role, true) AS opens,
+  SELECT *, row_number() OVER w AS pos, coalesce(lag(role) OVER w <> role, true) AS opens,
          coalesce(lead(role) OVER w <> role, true) AS closes
   FROM esc WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body)),
 pieces AS (
   SELECT *, length(body) + CASE WHEN opens THEN 10 + length(erole) + CASE WHEN role = 'user' THEN 7 ELSE 0 END ELSE 7 END
          + CASE WHEN closes THEN 4 + CASE WHEN role = 'user' THEN 8 ELSE 0 END ELSE 0 END AS n FROM marked)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM pieces GROUP BY conv_id"""
 

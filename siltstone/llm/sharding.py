@@ -8,7 +8,8 @@ Only rows in the few open cells are counted again, and only cell sums (a bounded
 number) reach the driver. The rows are exchanged once.
 
 Equal texts have one hash, so copies lie side by side in the order; a group of copies
-larger than a shard is split by the row key.
+that stands across a splitter is split by a hash of the row's key and number, also where
+keys are equal or null.
 """
 
 from __future__ import annotations
@@ -123,13 +124,11 @@ def shard_rows(
         *[F.col(f"`{c}`") for c in keep],
         byte_size(F.col(text)).alias("size"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(h),
-        F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))).alias(k),
+        # A number of the row parts what is equal in text and key; two bits fewer keep the splitters' sums within a long.
+        F.shiftrightunsigned(F.xxhash64(F.col(key), F.monotonically_increasing_id()), 2).alias(k),
     )
-    if text not in keep:  # narrow rows: computed once, then counted and exchanged from the shared folder
-        wide = stash(wide, "shard-rows")
-        keys = wide.select(F.col(h).alias("h"), F.col(k).alias("k"), "size")
-    else:
-        keys = stash(wide.select(F.col(h).alias("h"), F.col(k).alias("k"), "size"), "shard-keys")
+    wide = stash(wide, "shard-rows")  # the rows' numbers are settled once, then counted and exchanged from the shared folder
+    keys = wide.select(F.col(h).alias("h"), F.col(k).alias("k"), "size")
     splitters, rows, _ = find_splitters(keys, shards, tolerance)
     shard = F.lit(0)
     for a, b in splitters:

@@ -32,6 +32,11 @@ def test_hot_group_is_split(spark, as_rows):
     assert len({r["shard"] for r in rows if r["text"] == "the same text"}) >= 2
 
 
+def test_repeated_rows_are_parted(spark, as_rows):
+    rows = [(7, "x" * 100_000)] * 8 + [(None, "y" * 5_000)] * 40 + [(k, "small") for k in range(40)]
+    held(as_rows(sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 4)), 4, 0.01)
+
+
 def test_slices(spark, as_rows, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_A_SLICE", 50)
     docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
