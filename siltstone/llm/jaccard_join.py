@@ -248,7 +248,7 @@ def _links(found: DataFrame, percent: int) -> DataFrame:
             asked = stash(asked.distinct(), "asked")
             told = stash(_measure(asked, shingles), "told")
             new.append(told.where(linked).select("a", "b"))
-        links = new[0]
+        links = new[0] if new else spark.createDataFrame([], "a long, b long")
         for x in new[1:]:
             links = links.unionByName(x)
         colors = merged(colors, links)

@@ -80,3 +80,8 @@ def test_odd_rows(odd_docs, no_docs, as_rows):
     assert kept.columns == odd_docs.columns
     assert sorted((r["doc_id"] or 0) for r in as_rows(kept)) == [0, 1, 3, 4, 5, 6, 6, 7, 8]
     assert as_rows(J.join(no_docs)) == []
+
+
+def test_nothing_linked(spark, as_rows):
+    docs = [(k, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(5)] + [(9, "one")]
+    assert {r["doc_id"]: r["component_id"] for r in as_rows(J.join(spark.createDataFrame(docs, "doc_id long, text string")))} == {k: k for k, _ in docs}
