@@ -74,7 +74,7 @@ def line_table(docs: DataFrame, doc_id: str, text: str, lane: int | None = None)
 def _prints(split: DataFrame, lane: int) -> DataFrame:
     """Fingerprints of lines (d, v, p, h, len, w: words)."""
     pairs = F.transform("w", lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1)))
-    block = F.pmod(F.shiftrightunsigned("x", 32) * 3 + F.col("x"), F.lit(BLOCKS)).cast("int")
+    block = F.pmod(F.col("x"), F.lit(BLOCKS)).cast("int")
     hashed = split.select("d", "v", "p", "h", "len", F.explode(pairs).alias("x")).withColumn("c", block)
     own, many = F.lit(0).cast("long"), 64 // lane
     for c, (low, high) in enumerate(zip(EDGES, EDGES[1:])):
