@@ -115,10 +115,12 @@ def syllables_of(word: str) -> int:
 
 
 #: Score parts by audience: readability, repetition, structure, clarity, vocabulary.
-TARGETS = {
-    "general": (0.30, 0.20, 0.20, 0.15, 0.15),
-    "academic": (0.15, 0.20, 0.25, 0.15, 0.25),
-    "web": (0.40, 0.20, 0.15, 0.20, 0.05),
+TARGETS = {  # fixed values: weights of readability, repetition, structure, clarity, vocabulary
+    "general": (0.30, 0.20, 0.15, 0.25, 0.10),
+    "academic": (0.15, 0.20, 0.25, 0.25, 0.15),
+    "marketing": (0.30, 0.20, 0.15, 0.30, 0.05),
+    "technical": (0.20, 0.20, 0.20, 0.30, 0.10),
+    "simple": (0.40, 0.15, 0.10, 0.30, 0.05),
 }
 #: Wordy phrases that lower clarity (fixed values).
 WORDY = ["in order to", "due to the fact that", "at this point in time", "in the event that", "a large number of", "it is important to note", "for the purpose of"]

@@ -83,7 +83,7 @@ def _hashes(spark, sf_dir):
     h = bits[0]
     for b in bits[1:]:
         h = h.bitwiseOR(b)
-    return dedup.hamming_pairs(table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h")), "vec_id", "h", 4)
+    return dedup.hamming_pairs(table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h")), "vec_id", "h", 4, bits=32)
 
 
 _BM25 = """d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), p AS (SELECT id, len(t) AS len, unnest(t) AS term FROM d),
@@ -333,7 +333,8 @@ def _evict(spark, sf_dir):
 def _grounding(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     said = c.groupBy("conv_id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.col("text")))), " ").alias("answer"), F.collect_list("text").alias("sources")
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.col("text")))), " ").alias("answer"),
+        F.collect_list(F.when(F.col("role") == "user", F.col("text"))).alias("sources"),
     )
     return said.select("conv_id", dialogue.grounding()(F.col("answer"), F.col("sources")).alias("g")).select("conv_id", F.round("g.score", 4).alias("score"), "g.claims")
 
