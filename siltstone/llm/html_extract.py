@@ -236,13 +236,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
     """
     keep = [c for c in (keep or [c for c in pages.columns if c != source]) if c.lower() not in ("text", "n_chars")]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), _HOST, 1))
-    h = free_name(pages.columns, "host")
+    h, page, template = (free_name(pages.columns, x) for x in ("host", "page", "template"))
     body = F.coalesce(F.col(source), F.lit(""))
     rows = pages.select(host.alias("host"), F.coalesce(F.col(page_id).cast("string"), F.lit("")).alias("page"), body.alias("source"))
     python_ready(pages.sparkSession)
     found = templates(rows.where(F.col("host") != ""))
-    wide = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias(h), body.alias("the page to read"))
-    joined = wide.join(found.withColumnRenamed("host", h), h, "left").select(*[F.col(f"`{c}`") for c in keep], "the page to read", "template")
+    wide = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias(h), body.alias(page))
+    joined = wide.join(found.toDF(h, template), h, "left").select(*[F.col(f"`{c}`") for c in keep], page, template)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

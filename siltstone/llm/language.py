@@ -239,7 +239,8 @@ def sample(rows: DataFrame, per_lang: int, chars: int, lang: str = "lang", text:
         return [], []
     spans = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, round((1 << 30) * min(1.0, per_lang / n))))])
     chosen = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < F.element_at(spans, F.col(lang)))
-    got = chosen.select(lang, F.substring(text, 1, chars).alias("t"), F.xxhash64(text).alias("h")).collect()
+    # Copies of a text have one hash and are picked together: one of them is enough.
+    got = chosen.select(lang, F.substring(text, 1, chars).alias("t"), F.xxhash64(text).alias("h")).dropDuplicates([lang, "h"]).collect()
     got = sorted(got, key=lambda r: (r[0], r["h"], r["t"]))
     kept: dict[str, list[str]] = {}
     for r in got:

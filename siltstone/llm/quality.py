@@ -170,9 +170,9 @@ def judge(counted: DataFrame, rules: Rules, lang: str = "lang", source: str = "s
     bad = F.lit(False)
     for f in rules.fences:
         if f.low:
-            bad = bad | F.coalesce(metrics[f.metric] < F.col(f"low_{f.metric}"), F.lit(False))
+            bad = bad | F.coalesce(metrics[f.metric] < limits[f"low_{f.metric}"], F.lit(False))
         if f.high:
-            bad = bad | F.coalesce(metrics[f.metric] > F.col(f"high_{f.metric}"), F.lit(False))
+            bad = bad | F.coalesce(metrics[f.metric] > limits[f"high_{f.metric}"], F.lit(False))
     failed = base_failed(rules)
     return joined.select(*[counted[c] for c in counted.columns], failed.alias("base_failed"), (~failed & ~bad).alias("kept"))
 

@@ -64,3 +64,8 @@ def test_odd_pages(spark, as_rows):
     got = sorted(((r["page_id"] or 0, r["text"][:40], r["n_chars"]) for r in as_rows(out)))
     assert got == sorted([(1, "", 0), (2, "", 0), (3, "unclosed bold\nnext", 18), (4, "plain text", 10), (4, "plain text", 10), (0, "a", 1), (6, "", 0), (7, "", 0), (8, ("long " * 8)[:40], 249_999)])
     assert as_rows(H.extract(df.limit(0))) == []
+
+
+def test_clashing_columns(spark, as_rows):
+    pages = spark.createDataFrame([(1, "http://a.b/c", "<p>text</p>", "x", "y", "z")], "page_id long, url string, html string, template string, host string, page string")
+    assert [(r["template"], r["host"], r["page"], r["text"]) for r in as_rows(H.extract(pages))] == [("x", "y", "z", "text")]

@@ -73,3 +73,9 @@ def test_odd_rows(odd_docs, no_docs, as_rows):
     assert len(rows) == odd_docs.count()
     assert all(r["base_failed"] and not r["kept"] for r in rows if not (r["text"] or "").strip())
     assert as_rows(quality.quality(no_docs)) == []
+
+
+def test_clashing_columns(spark, as_rows):
+    docs = spark.createDataFrame([(k, "a line of some words that is long enough to be kept here " * 2, "en", "a", 1.0, "x") for k in range(20)], "doc_id long, text string, lang string, source string, low_mean_word double, g_lang string")
+    out = quality.quality(docs)
+    assert {"low_mean_word", "g_lang"} <= set(out.columns) and len(as_rows(out)) == 20
