@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from siltstone.llm._common import stash, table
+from siltstone.llm._common import free_name, stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier line resembles; n_chars follows, and documents left without a text go."""
-    had = docs.withColumn("had text", F.coalesce(F.length(F.trim("text")) > 0, F.lit(False)))
-    left = line_dedup.dedup_lines(had).where(~F.col("had text") | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
+    mark = free_name(docs.columns, "had_text")
+    had = docs.withColumn(mark, F.coalesce(F.length(F.trim("text")) > 0, F.lit(False)))
+    left = line_dedup.dedup_lines(had).where(~F.col(mark) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
