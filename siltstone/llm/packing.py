@@ -1,17 +1,18 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
-Bulk-synchronous best fit: pieces and gaps are kept sorted by size; a round sweeps both
-downwards, giving every piece the smallest gap that holds it (its successor), conflicts
-for equal gaps go to the lower rank, then all gaps are updated at once and the next round
-begins; where no gap holds the largest piece left, new sequences open.
-
-Sizes are whole numbers up to the capacity, so pieces of one length are interchangeable,
-and the sorted order of all pieces is a run-length code of at most ``capacity`` runs,
-whatever the size of the corpus: one aggregation over the cluster yields it, the sweeps
-work on runs (a match takes min(pieces, gaps) of two runs at a time), and the outcome is
-a table of runs (length, ranks -> sequences, offset). The rows never move for a round:
-each is ranked once among the pieces of its length, on slices sorted over the cluster,
-and takes its place from the run that holds its rank.
+Bulk-synchronous best fit. A round range-sorts the pieces left and the gaps by size,
+downwards, gaps before pieces of their size. A sweep along that order gives every piece
+its successor, the smallest gap before it that isn't taken: gaps open and pieces close,
+like brackets, so conflicts are settled by rank, the number of gaps open so far. Each
+partition matches its own brackets; what is left of it, closing ranks and then opening
+ones, is matched over partitions by rank alone, where a partition has at most one of
+each at a rank. Then all gaps are updated at once and the next round begins. Where gaps
+are large against the largest piece left, a gap takes part as several equal ones, so
+rounds don't follow the number of pieces in a sequence. For pieces that no gap holds,
+new sequences open, as many as their tokens fill.
+
+Rounds move (row number, length) and (sequence, size) only; the pieces themselves are
+joined with their places once, at the end.
 """
 
 from __future__ import annotations
@@ -19,20 +20,21 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import free_name, python_ready, stash
+from siltstone.llm._common import free_name, python_ready, stash, unstash
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text tokenised at a time, and words whose ids a worker remembers.
 SLICE_BYTES, REMEMBERED = 2 << 20, 600_000
-ROWS_A_SLICE = 250_000
+#: Pieces and gaps of a range that a task sweeps; the number of ranges follows the rows.
+ROWS_A_RANGE = 100_000
 
 
 class WordTokenizer:
@@ -65,15 +67,11 @@ class WordTokenizer:
         return cls.shared[path]
 
     def forget(self) -> None:
-        import numpy as np
-
         self.number: dict[str, int] = {}
         self.flat, self.starts = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
     def _learn(self, new: list[str]) -> None:
         """Ids of words that aren't known yet."""
-        import numpy as np
-
         if len(self.pieces) > REMEMBERED:
             self.pieces = {}
         plain, parts, pieces = self.PLAIN.fullmatch, self.PARTS.findall, self.pieces
@@ -94,7 +92,6 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array):
         """Flat ids (uint32) of all texts and the number of ids of each; a null text has none."""
-        import numpy as np
         import pyarrow.compute as pc
 
         if len(self.number) > REMEMBERED:
@@ -120,7 +117,6 @@ class WordTokenizer:
 
 def _slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``most`` bytes of text."""
-    import numpy as np
     import pyarrow.compute as pc
 
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -137,8 +133,6 @@ def tokenize(docs: DataFrame, capacity: int, tokenizer: str, doc_id: str = "doc_
 
     A document is its text's ids and then id 0; a null or empty text is the id 0 alone. Only longer documents are cut.
     """
-    import numpy as np
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer.of(tokenizer)
         for batch in batches:
@@ -171,96 +165,110 @@ def tokenize(docs: DataFrame, capacity: int, tokenizer: str, doc_id: str = "doc_
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
-def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Places for ``counts[length]`` pieces of each length: runs (length, first rank, end rank, first sequence, pieces a sequence, offset).
-
-    The piece of rank r in a run is in sequence first + (r - first rank) // per, at offset + length * ((r - first rank) % per).
-    """
-    left = {n: c for n, c in counts.items() if c > 0}
-    rank = dict.fromkeys(left, 0)
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap size -> intervals of sequences (first, number)
-    runs: list[tuple[int, int, int, int, int, int]] = []
-    opened = 0
-
-    def open_for(n: int) -> None:
-        nonlocal opened
-        per, c = capacity // n, left.pop(n)
-        full, rest = divmod(c, per)
-        runs.append((n, rank[n], rank[n] + c, opened, per, 0))
-        if full and capacity - per * n:
-            gaps[capacity - per * n].append((opened, full))
-        if rest:
-            gaps[capacity - rest * n].append((opened + full, 1))
-        opened += full + (rest > 0)
-
-    for n in sorted((n for n in left if 2 * n > capacity), reverse=True):
-        open_for(n)
-    while left:
-        matched = True
-        while matched and left:  # rounds over what is open
-            matched, freed = False, []
-            sizes = sorted(gaps)
-            for n in sorted(left, reverse=True):
-                at = bisect_left(sizes, n)
-                while left.get(n) and at < len(sizes):
-                    g = sizes[at]
-                    first, number = gaps[g].pop()
-                    take = min(number, left[n])
-                    if take < number:
-                        gaps[g].append((first + take, number - take))
-                    runs.append((n, rank[n], rank[n] + take, first, 1, capacity - g))
-                    rank[n] += take
-                    left[n] -= take
-                    freed.append((g - n, first, take))
-                    matched = True
-                    if not gaps[g]:
-                        del gaps[g]
-                        sizes.pop(at)
-                if n in left and not left[n]:
-                    del left[n]
-            for g, first, number in freed:
-                if g:
-                    insort(gaps[g], (first, number))
-        if left:
-            open_for(max(left))
-    return runs
-
-
-def assign(pieces: DataFrame, capacity: int, keys: list[str]) -> DataFrame:
-    """pieces (with a column ``length``, 1 to capacity) with sequence_id and offset; ``keys`` order pieces of one length.
-
-    ``pieces`` is read three times: stash it first. Equal keys are interchangeable; an empty table gives no row.
+def brackets(opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of matched gaps and of their pieces, in a sweep over gaps (True) and pieces: each piece takes the last gap not taken."""
+    rank = np.cumsum(np.where(opens, 1, -1)) + ~opens
+    order = np.argsort(rank, kind="stable")
+    rank, kind = rank[order], opens[order]
+    hit = np.flatnonzero(kind[:-1] & ~kind[1:] & (rank[1:] == rank[:-1]))
+    return order[hit], order[hit + 1]
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches (r, s, slot, n) of a range of (r, s, slot, n), r being null for gaps; rows without a match get their range and place in it."""
+    got = list(batches)
+    if not got:
+        return
+    rows = pa.Table.from_batches(got).combine_chunks()
+    opens = rows.column("r").is_null().to_numpy()
+    gap, piece = brackets(opens)
+    alone = np.ones(len(opens), bool)
+    alone[gap] = alone[piece] = False
+    rest = np.flatnonzero(alone)
+    closing = int((~opens[rest]).sum())
+    place = np.concatenate([np.arange(closing), np.arange(len(rest) - closing)])
+    order = np.concatenate([piece, rest])
+    source = np.concatenate([gap, rest])
+    part = np.concatenate([np.full(len(piece), -1), np.full(len(rest), TaskContext.get().partitionId())])
+    columns = [rows.column("r").take(pa.array(order)), *(rows.column(c).take(pa.array(source)) for c in ("s", "slot")), rows.column("n").take(pa.array(order))]
+    columns += [pa.chunked_array([pa.array(x, pa.int64())]) for x in (part, np.concatenate([np.zeros(len(piece), np.int64), place]))]
+    yield from pa.table(columns, ["r", "s", "slot", "n", "part", "i"]).to_batches(max_chunksize=1 << 16)
+
+
+def _matched(swept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(r, s, slot, n) of the pieces that have a gap and (r, n) of those left; swept: stashed rows of _sweep."""
+    spark = swept.sparkSession
+    piece = F.col("r").isNotNull()
+    rest = swept.where(F.col("part") >= 0)
+    sizes = rest.groupBy("part").agg(F.count(F.when(piece, 1)).alias("closing"), F.count(F.when(~piece, 1)).alias("opening"))
+    before, below, table = 0, 0, []
+    for r in sorted(sizes.collect()):  # one row a range
+        below = max(before - r["closing"], 0)
+        table.append((r["part"], before, below))
+        before = below + r["opening"]
+    ranges = spark.createDataFrame(table, "part long, before long, below long")
+    ranked = rest.join(F.broadcast(ranges), "part")
+    ranked = ranked.withColumn("rank", F.when(piece, F.col("before") - F.col("i")).otherwise(F.col("below") + F.col("i") + 1))
+    own = swept.where(F.col("part") < 0).select("r", "s", "slot", "n")
+    left = ranked.where(piece & (F.col("rank") <= 0)).select("r", "n")
+    if not any(before for _, before, _ in table):
+        return own, left
+    at = Window.partitionBy("rank").orderBy("part", F.col("r").isNull())  # of a rank, a range has one piece and one gap at most
+    far = ranked.where(F.col("rank") > 0).select("r", "n", F.lag("s").over(at).alias("s"), F.lag("slot").over(at).alias("slot"))
+    return own.unionByName(far.where(piece)), left
+
+
+def assign(pieces: DataFrame, capacity: int, row: str) -> DataFrame:
+    """pieces (with a column ``length``, 1 to capacity) with sequence_id and offset; ``row`` numbers the rows and is left out.
+
+    ``pieces`` is read twice: stash it first. An empty table gives no row.
     """
     spark = pieces.sparkSession
-    part, n, rank = (free_name(pieces.columns, x) for x in ("slice", "n", "rank"))
-    counts = {r["length"]: r["c"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("c")).collect()}
-    runs = plan_runs(counts, capacity)
-    slices = {k: max(1, -(-c // ROWS_A_SLICE)) for k, c in counts.items()}
-    schema = "length long, r0 long, r1 long, s0 long, per long, off long"
-    table = spark.createDataFrame(runs, schema)
-    if max(slices.values(), default=1) == 1:
-        sliced = pieces.withColumn(part, F.lit(0))
-    else:  # long lengths' runs of equal pieces are parted by a hash of the keys
-        many = F.lit(1)
-        for k, s in slices.items():
-            many = F.when(F.col("length") == k, F.lit(s)).otherwise(many) if s > 1 else many
-        sliced = pieces.withColumn(part, F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), many).cast("int"))
-    at = Window.partitionBy("length", part).orderBy(*[F.col(f"`{k}`") for k in keys])
-    ranked = sliced.withColumn(rank, (F.row_number().over(at) - 1).cast("long"))
-    if max(slices.values(), default=1) > 1:
-        sizes = sliced.groupBy("length", part).agg(F.count(F.lit(1)).alias(n))
-        before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-        starts = sizes.select("length", part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n))
-        ranked = ranked.join(starts, ["length", part]).withColumn(rank, F.col(rank) + F.col(n)).drop(n)
-    # The table of runs is bounded by the capacity, not by the corpus.
-    runs_side = F.broadcast(table.withColumnRenamed("length", n))
-    placed = ranked.join(runs_side, (F.col("length") == F.col(n)) & (F.col(rank) >= F.col("r0")) & (F.col(rank) < F.col("r1")))
-    step = F.col(rank) - F.col("r0")
-    return placed.select(
-        *[F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")],
-        (F.col("s0") + F.floor(step / F.col("per"))).cast("long").alias("sequence_id"),
-        (F.col("off") + F.col("length") * (step % F.col("per"))).cast("long").alias("offset"),
-    )
+    python_ready(spark)
+    left, gaps = pieces.select(F.col(f"`{row}`").alias("r"), F.col("length").alias("n")), None
+    placed, opened, turn, widest = [], 0, 0, 0
+    while True:
+        stuck = F.col("n") > widest
+        found = left.agg(
+            F.count("n").alias("c"), F.max("n").alias("longest"), F.min("n").alias("shortest"),
+            F.coalesce(F.sum(F.when(stuck, F.col("n"))), F.lit(0)).alias("tokens"), F.count(F.when(stuck & (2 * F.col("n") > capacity), 1)).alias("halves"),
+        ).first()
+        if not found["c"]:
+            break
+        new = max(-(-found["tokens"] // capacity), found["halves"])
+        fresh = spark.range(opened, opened + new).select(F.col("id").alias("s"), F.lit(capacity).cast("long").alias("g"))
+        opened += new
+        open_ = fresh if gaps is None else gaps.where(F.col("g") >= found["shortest"]).unionByName(fresh)
+        times = F.greatest(F.lit(1), F.floor(F.col("g") / found["longest"]))
+        slots = open_.select(F.lit(None).cast("long").alias("r"), "s", F.explode(F.sequence(F.lit(1), times.cast("int"))).alias("slot"), F.floor(F.col("g") / times).alias("n"))
+        sides = slots.unionByName(left.select("r", F.lit(None).cast("long").alias("s"), F.lit(None).cast("int").alias("slot"), "n"))
+        # Equal sizes are spread over ranges by their numbers.
+        order = [F.col("n").desc(), F.col("r").isNotNull(), F.coalesce("r", "s"), F.col("slot")]
+        ranges = 1 + (found["c"] + opened) // ROWS_A_RANGE
+        sorted_ = sides.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+        swept = stash(sorted_.mapInArrow(_sweep, "r long, s long, slot int, n long, part long, i long"), f"swept-{turn}")
+        hits, left = _matched(swept)
+        hits = stash(hits.withColumn("turn", F.lit(turn)), f"placed-{turn}")
+        placed.append(hits)
+        taken = hits.groupBy("s").agg(F.sum("n").alias("taken"))
+        last = gaps
+        gaps = stash(open_.join(taken, "s", "left").select("s", (F.col("g") - F.coalesce("taken", F.lit(0))).alias("g")).where("g > 0"), f"gaps-{turn}")
+        left = stash(left, f"left-{turn}")
+        for old in (swept, last):
+            if old is not None:
+                unstash(old)
+        widest = gaps.agg(F.max("g")).first()[0] or 0
+        turn += 1
+    if not placed:
+        return pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c != row], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
+    every = placed[0]
+    for more in placed[1:]:
+        every = every.unionByName(more)
+    within = Window.partitionBy("s").orderBy("turn", "slot")  # at most ``capacity`` rows
+    r, s, offset = (free_name(pieces.columns, x) for x in ("r", "s", "at"))
+    places = every.select(F.col("r").alias(r), F.col("s").alias(s), (F.sum("n").over(within) - F.col("n")).alias(offset))
+    kept = [F.col(f"`{c}`") for c in pieces.columns if c not in (row, "sequence_id", "offset")]
+    return pieces.join(places, F.col(f"`{row}`") == F.col(r)).select(*kept, F.col(s).alias("sequence_id"), F.col(offset).alias("offset"))
 
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -273,8 +281,9 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, do
         import public_tokenizers
 
         tokenizer = public_tokenizers.path(TOKENIZER)
-    pieces = stash(tokenize(docs, capacity, tokenizer, doc_id, text, keep_ids), "pieces")
-    return assign(pieces, capacity, [doc_id, "piece", "ids_crc32"])
+    tokenized = tokenize(docs, capacity, tokenizer, doc_id, text, keep_ids)
+    row = free_name(tokenized.columns, "row")
+    return assign(stash(tokenized.withColumn(row, F.monotonically_increasing_id()), "pieces"), capacity, row)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from siltstone.llm import packing
+from siltstone.llm._common import stash
 
 PATH = public_tokenizers.path(packing.TOKENIZER)
 
@@ -58,18 +59,35 @@ def test_sequences_hold_the_ids(spark, odd_docs, as_rows):
     assert all(len(r["ids"]) <= 128 for r in built)
 
 
-def test_slices_do_not_change_the_result(odd_docs, as_rows, monkeypatch):
-    monkeypatch.setattr(packing, "ROWS_A_SLICE", 2)
-    held(as_rows(packing.pack(odd_docs, 64)), as_rows(odd_docs), 64)
+def test_ranges_do_not_change_the_result(odd_docs, as_rows, monkeypatch):
+    whole = as_rows(packing.pack(odd_docs, 64))
+    monkeypatch.setattr(packing, "ROWS_A_RANGE", 40)
+    parted = as_rows(packing.pack(odd_docs, 64))
+    held(parted, as_rows(odd_docs), 64)
+    assert max(r["sequence_id"] for r in parted) == max(r["sequence_id"] for r in whole)
 
 
-def test_plan_is_near_the_bound():
+def test_many_lengths_are_near_the_bound(spark, as_rows, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_A_RANGE", 1000)
     rng = random.Random(5)
-    counts = collections.Counter(min(512, int(rng.lognormvariate(4, 1.2)) + 1) for _ in range(50_000))
-    runs = packing.plan_runs(counts, 512)
-    total = sum(n * c for n, c in counts.items())
-    assert max(s + -(-(b - a) // per) for _, a, b, s, per, _ in runs) <= total / 512 * 1.01 + 1
-    assert sum((b - a) * n for n, a, b, *_ in runs) == total
+    lengths = [(i, min(512, int(rng.lognormvariate(4, 1.2)) + 1)) for i in range(5000)]
+    rows = as_rows(packing.assign(stash(spark.createDataFrame(lengths, "no long, length long"), "lengths"), 512, "no"))
+    assert sorted(r["length"] for r in rows) == sorted(n for _, n in lengths)
+    assert len({r["sequence_id"] for r in rows}) <= sum(n for _, n in lengths) / 512 * 1.01 + 1
+
+
+def test_sweep_gives_each_piece_the_last_gap_not_taken():
+    rng = random.Random(2)
+    for _ in range(300):
+        opens = [rng.random() < 0.5 for _ in range(rng.randint(0, 30))]
+        stack, want = [], []
+        for i, is_gap in enumerate(opens):
+            if is_gap:
+                stack.append(i)
+            elif stack:
+                want.append((stack.pop(), i))
+        gap, piece = packing.brackets(np.array(opens, bool))
+        assert sorted(zip(gap.tolist(), piece.tolist())) == sorted(want)
 
 
 def test_words_have_the_tokenizers_ids():
