@@ -41,7 +41,7 @@ from siltstone.llm.line_dedup import bit_table, maybe_in
 
 SPAN, GRAM, CELL = 100, 32, 8
 #: log2 of the bits of a bitmap of buckets, and bytes of text handled at a time.
-BITS, SLICE_BYTES = 25, 2 << 20
+BITS, SLICE_BYTES = 25, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
