@@ -229,9 +229,10 @@ class Decoder:
 
 
 def sample(rows: DataFrame, per_lang: int, chars: int, lang: str = "lang", text: str = "text") -> tuple[list[str], list[str]]:
-    """About ``per_lang`` labelled texts of each language (picked by a hash of the text), each cut to ``chars`` characters.
+    """About ``per_lang`` labelled texts of each language, picked by a hash of the text, and of each one of its windows of ``chars`` characters.
 
-    This bounds what reaches the driver: languages x per_lang x chars. Only training uses it.
+    The window is picked by another hash, so all parts of texts are learnt from alike. This bounds what reaches the
+    driver: languages x per_lang x chars. Only training uses it.
     """
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
@@ -240,7 +241,10 @@ def sample(rows: DataFrame, per_lang: int, chars: int, lang: str = "lang", text:
     spans = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, round((1 << 30) * min(1.0, per_lang / n))))])
     chosen = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < F.element_at(spans, F.col(lang)))
     # Copies of a text have one hash and are picked together: one of them is enough.
-    got = chosen.select(lang, F.substring(text, 1, chars).alias("t"), F.xxhash64(text).alias("h")).dropDuplicates([lang, "h"]).collect()
+    windows = F.greatest(F.lit(1), F.ceil(F.char_length(text) / chars))
+    begin = F.pmod(F.xxhash64(F.lit("window"), text), windows) * chars + 1
+    window = F.substr(text, begin.cast("int"), F.lit(chars)).alias("t")
+    got = chosen.select(lang, window, F.xxhash64(text).alias("h")).dropDuplicates([lang, "h"]).collect()
     got = sorted(got, key=lambda r: (r[0], r["h"], r["t"]))
     kept: dict[str, list[str]] = {}
     for r in got:

@@ -55,3 +55,10 @@ def test_odd_rows(odd_docs, no_docs, field, as_rows):
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in rows if not (r["text"] or "").strip())
     assert as_rows(L.predict(no_docs, field)) == []
     assert {r["lang_pred"] for r in as_rows(L.predict(odd_docs, L.fit(no_docs)))} == {"und"}
+
+
+def test_training_reads_all_parts_of_texts(spark):
+    rows = spark.createDataFrame([("en", "".join(str(k) * 100 for k in range(10)) + f"x{i}") for i in range(200)] + [("de", "")], "lang string, text string")
+    texts, langs = L.sample(rows, 1000, 100)
+    assert langs.count("en") == 200 and langs.count("de") == 1 and max(map(len, texts)) <= 100
+    assert {t[0] for t in texts if t} == {*"0123456789", "x"}
