@@ -35,8 +35,8 @@ RADIUS, SIMILARITY, BLOCKS = 12, 0.9, 5
 LONG = 20
 #: Lines of other colors that meet the rest of their bucket; pivots of a bucket with more.
 WHOLE, PIVOTS = 2048, 8
-#: Lines of fewer words have sums in lanes of 16 bits, four to a long; others in lanes of 32 bits, which no text's words fill.
-WORDS = 1 << 15
+#: Lines of texts too short for so many words have sums in lanes of 16 bits, four to a long; others in lanes of 32 bits. No text's words fill a lane's lower bits, all but two.
+WORDS = 1 << 14
 _FILTER_BITS = 22
 #: The bits of block c are those from EDGES[c] below EDGES[c + 1].
 EDGES = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
@@ -58,24 +58,22 @@ def _packed(h: Column, group: int, lane: int) -> Column:
 def line_table(docs: DataFrame, doc_id: str, text: str, lane: int | None = None) -> DataFrame:
     """One row per line that has a letter or digit: d, v (document and version of its text), p (line from 0), h (hash), f (fingerprint),
     e (bit set of the blocks that no pair votes for) and len (its characters)."""
-    lines = docs.select(
-        F.col(doc_id).alias("d"), F.xxhash64(text).alias("v"), F.posexplode(F.split(F.col(text), "\n")).alias("p", "line")
-    ).select("d", "v", "p", normalised(F.col("line")).alias("line"))
-    split = lines.where(F.col("line") != "").select(
-        "d", "v", "p", F.xxhash64("line").alias("h"), F.char_length("line").alias("len"), F.split("line", " ").alias("w")
-    )
-    # A line of that many words has more characters, so few texts are read for the second part.
-    long = docs.where(F.char_length(text) >= 2 * WORDS - 1)
-    if lane is not None:
-        return _prints(split, lane)
-    return _prints(split.where(F.size("w") < WORDS), 16).unionByName(line_table(long, doc_id, text, 32).where(F.col("words") >= WORDS)).drop("words")
+    # A text with fewer characters has no line of WORDS words. A line's words are known only after the costly expressions,
+    # and a filter on them would be evaluated a second time, below them.
+    short = F.char_length(text) < 2 * WORDS - 1
+    if lane is None:
+        return line_table(docs.where(short), doc_id, text, 16).unionByName(line_table(docs.where(~short), doc_id, text, 32))
+    texts = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("v"), F.col(text).alias("t"))
+    lines = texts.select("d", "v", F.posexplode(F.split("t", "\n")).alias("p", "line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
+    lines = lines.select("d", "v", "p", normalised(F.col("line")).alias("line"))
+    return _prints(lines.select("d", "v", "p", F.xxhash64("line").alias("h"), F.char_length("line").alias("len"), F.split("line", " ").alias("w")), lane)
 
 
 def _prints(split: DataFrame, lane: int) -> DataFrame:
     """Fingerprints of lines (d, v, p, h, len, w: words)."""
-    pairs = F.transform("w", lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1)))
     block = F.pmod(F.col("x"), F.lit(BLOCKS)).cast("int")
-    hashed = split.select("d", "v", "p", "h", "len", F.explode(pairs).alias("x")).withColumn("c", block)
+    words = split.select("d", "v", "p", "h", "len", "w", F.posexplode("w").alias("i", "word"))
+    hashed = words.select("d", "v", "p", "h", "len", F.xxhash64("word", F.get("w", F.col("i") + 1)).alias("x")).withColumn("c", block)
     own, many = F.lit(0).cast("long"), 64 // lane
     for c, (low, high) in enumerate(zip(EDGES, EDGES[1:])):
         own = F.when(F.col("c") == c, F.lit(_signed((1 << high) - (1 << low)))).otherwise(own)
@@ -92,18 +90,31 @@ def _prints(split: DataFrame, lane: int) -> DataFrame:
         F.first("h").alias("h"), F.first("len").alias("len"), *votes, *[F.sum(_packed(F.col("x"), g, lane)).alias(f"s{g}") for g in range(64 // many)]
     )
 
-    def count(kind: str, at: int) -> Column:
-        return F.shiftrightunsigned(F.col(f"{kind}{at // many}"), lane * (at % many)).bitwiseAND(F.lit((1 << lane) - 1))
-
-    print_, empty = F.lit(0).cast("long"), F.lit(0)
-    for c, (low, high) in enumerate(zip(EDGES, EDGES[1:])):
-        empty = empty.bitwiseOR(F.when(count("n", c) == 0, F.lit(1 << c)).otherwise(F.lit(0)))
-        for bit in range(low, high):
-            print_ = print_.bitwiseOR(F.when(2 * count("s", bit) > count("n", c), F.lit(_signed(1 << bit))).otherwise(F.lit(0).cast("long")))
-    words = count("n", 0)
-    for c in range(1, BLOCKS):
-        words = words + count("n", c)
-    return sums.select("d", "v", "p", "h", print_.alias("f"), empty.alias("e"), "len", words.alias("words"))
+    # A bit is set where more than half of its block's pairs have it. Each lane's second highest bit is free, so one
+    # subtraction compares all lanes of a long; written out bit by bit, the code would be too long to be compiled.
+    def count(c: int) -> Column:
+        lanes = F.coalesce(F.col(f"n{c // many}"), F.lit(0).cast("long"))
+        return F.shiftrightunsigned(lanes, lane * (c % many)).bitwiseAND(F.lit((1 << lane) - 1))
+
+    halves = [(F.shiftrightunsigned(count(c), 1) + 1).alias(f"m{c}") for c in range(BLOCKS)]
+    empty = F.lit(0)
+    for c in range(BLOCKS):
+        empty = empty.bitwiseOR(F.when(count(c) == 0, F.lit(1 << c)).otherwise(F.lit(0)))
+    counted = [F.coalesce(F.col(f"s{g}"), F.lit(0).cast("long")).alias(f"s{g}") for g in range(64 // many)]
+    sums = sums.select("d", "v", "p", "h", "len", empty.alias("e"), *halves, *counted)
+    print_, top = F.lit(0).cast("long"), sum(1 << (lane * i + lane - 2) for i in range(many))
+    for g in range(64 // many):
+        need = F.lit(0).cast("long")
+        for c, (low, high) in enumerate(zip(EDGES, EDGES[1:])):
+            own_lanes = sum(1 << (lane * i) for i in range(many) if low <= many * g + i < high)
+            if own_lanes:
+                need = need.bitwiseOR(F.col(f"m{c}") * F.lit(own_lanes))
+        over = F.col(f"s{g}").bitwiseOR(F.lit(top)) - need
+        for i in range(many):
+            bit, at = many * g + i, lane * i + lane - 2
+            moved = F.shiftrightunsigned(over, at - bit) if at >= bit else F.shiftleft(over, bit - at)
+            print_ = print_.bitwiseOR(moved.bitwiseAND(F.lit(_signed(1 << bit))))
+    return sums.select("d", "v", "p", "h", print_.alias("f"), "e", "len")
 
 
 def _signed(x: int) -> int:
