@@ -5,6 +5,7 @@ Watermarks, triggers and late data are this engine's own; event time comes as a
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.operators.drift import smoothed_psi
 
+LOG = logging.getLogger(__name__)
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -42,7 +44,7 @@ def deduplicated(df: DataFrame, keys: list[str]) -> DataFrame:
 def watch(df: DataFrame, reference: DataFrame, column: str, alert: Callable[[int, float], None], limit: float = 0.2):
     """A writer that compares each batch's column with a stored reference and calls ``alert``(batch, index) above the limit.
 
-    An alert that fails does not stop the stream.
+    An alert that fails is logged and does not stop the stream.
     """
 
     def check(batch: DataFrame, number: int) -> None:
@@ -53,7 +55,7 @@ def watch(df: DataFrame, reference: DataFrame, column: str, alert: Callable[[int
             try:
                 alert(number, index)
             except Exception:  # noqa: BLE001
-                pass
+                LOG.exception("the alert of batch %s failed", number)
 
     return df.writeStream.foreachBatch(check)
 
