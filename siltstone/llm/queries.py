@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, decontaminate, html_extract, jaccard_join, language, line_dedup, packing, periodic_runs, quality, sharding, suffix_dedup
+from siltstone.llm import chat_format, decontaminate, html_extract, jaccard_join, language, lexical_rank, line_dedup, packing, periodic_runs, quality, sharding, suffix_dedup
 from siltstone.llm._common import table
 
 
@@ -106,5 +106,30 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find_runs(docs))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_chat_format": op3_chat_format, "op4_line_dedup": op4_line_dedup, "op5_sharding": op5_sharding, "op6_suffix_dedup": op6_suffix_dedup, "op7_quality": op7_quality, "op8_language": op8_language, "op9_html": op9_html, "op10_jaccard_join": op10_jaccard_join, "op12_periodic_runs": op12_periodic_runs}
-ORACLES = {"op3_chat_format": OP3_SQL}
+def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical_rank.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH lists AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+sizes AS (SELECT r, doc_id, len(terms) AS n FROM lists),
+corpus AS (SELECT count(*) FILTER (n > 0) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+posts AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM lists) GROUP BY r, term),
+dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+parts AS (
+  SELECT item_id, r, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT)
+         * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // total)))) AS s
+  FROM asked JOIN dfs USING (term) JOIN posts USING (term) JOIN sizes USING (r) CROSS JOIN corpus),
+sums AS (SELECT item_id, r, CAST(sum(s) AS BIGINT) AS score FROM parts GROUP BY item_id, r HAVING sum(s) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM sums JOIN sizes USING (r) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50"""
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_chat_format": op3_chat_format, "op4_line_dedup": op4_line_dedup, "op5_sharding": op5_sharding, "op6_suffix_dedup": op6_suffix_dedup, "op7_quality": op7_quality, "op8_language": op8_language, "op9_html": op9_html, "op10_jaccard_join": op10_jaccard_join, "op12_periodic_runs": op12_periodic_runs, "op13_lexical_rank": op13_lexical_rank}
+ORACLES = {"op3_chat_format": OP3_SQL, "op13_lexical_rank": OP13_SQL}
