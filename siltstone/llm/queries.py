@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, decontaminate, html_extract, jaccard_join, language, lexical_rank, line_dedup, packing, periodic_runs, quality, sharding, suffix_dedup
+from siltstone.llm import chat_format, decontaminate, html_extract, jaccard_join, language, lexical_rank, line_dedup, packing, periodic_runs, quality, secret_scan, sharding, suffix_dedup
 from siltstone.llm._common import table
 
 
@@ -100,6 +100,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, and the weak parts of credentials that stand beside others."""
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, a tenth of which go round."""
     docs = periodic_runs.looped(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -131,5 +136,5 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM sums JOIN sizes USING (r) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50"""
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_chat_format": op3_chat_format, "op4_line_dedup": op4_line_dedup, "op5_sharding": op5_sharding, "op6_suffix_dedup": op6_suffix_dedup, "op7_quality": op7_quality, "op8_language": op8_language, "op9_html": op9_html, "op10_jaccard_join": op10_jaccard_join, "op12_periodic_runs": op12_periodic_runs, "op13_lexical_rank": op13_lexical_rank}
+QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_chat_format": op3_chat_format, "op4_line_dedup": op4_line_dedup, "op5_sharding": op5_sharding, "op6_suffix_dedup": op6_suffix_dedup, "op7_quality": op7_quality, "op8_language": op8_language, "op9_html": op9_html, "op10_jaccard_join": op10_jaccard_join, "op11_secret_scan": op11_secret_scan, "op12_periodic_runs": op12_periodic_runs, "op13_lexical_rank": op13_lexical_rank}
 ORACLES = {"op3_chat_format": OP3_SQL, "op13_lexical_rank": OP13_SQL}
