@@ -29,8 +29,8 @@ def _exact(spark, sf_dir):
 
 @query("near_dup_pairs")
 def _near(spark, sf_dir):
-    """All pairs of 3-gram sets; tests hold it against brute force, as DuckDB needs minutes for it."""
-    return _rounded(dedup.near_pairs(_docs(spark, sf_dir), "doc_id", "text", 0.85))
+    """Links between distinct texts of a group; tests hold their groups against those of all pairs."""
+    return _rounded(dedup.near_links(_docs(spark, sf_dir), "doc_id", "text", 0.85))
 
 
 @query("dup_groups")
