@@ -17,7 +17,8 @@ ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "st", "vs", "etc", "e.g", "i.e
 
 def ascii_normalized(text: Column) -> Column:
     """Lower case, runs of white space as one space, trimmed; of a null text: empty."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    # A single space is left as it is, so that few places are written anew.
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s\s+|[\t\n\x0B\f\r]", " "))
 
 
 def shingles(text: Column, n: int = 3) -> Column:
