@@ -61,6 +61,20 @@ def binary_curve_area(df: DataFrame, actual: str, score: str) -> DataFrame:
     return out.select(F.coalesce(F.col("p") + F.col("q"), F.lit(0)).alias("n"), F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("w") / (F.col("p") * F.col("q"))).alias("auc"))
 
 
+def average_precision(df: DataFrame, actual: str, score: str) -> DataFrame:
+    """One row: n and ap, the mean over positives of the share of positives among the rows of their score or higher.
+
+    Rows without both are left out; null without a positive. Rows of one score count together.
+    """
+    from siltstone.operators.splits import running
+
+    rows = df.select(F.col(actual).cast("int").alias("y"), (-F.col(score).cast("double")).alias("s")).dropna()
+    counts = rows.groupBy("s").agg(F.sum("y").cast("long").alias("pos"), F.count(F.lit(1)).alias("all"))
+    above = running(running(counts, [], "s", "pos").withColumnRenamed("upto", "hits"), [], "s", "all")
+    out = above.agg(F.sum("all").alias("n"), F.sum("pos").alias("p"), F.sum(F.col("pos") * F.col("hits") / F.col("upto")).alias("w"))
+    return out.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("p") > 0, F.col("w") / F.col("p")).alias("ap"))
+
+
 def _order(keys: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
