@@ -309,8 +309,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     spark = docs.sparkSession
     python_ready(spark)
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    points = stash(_points(base, k, percent), "points")
-    found = _candidates(base, points, k, percent)
+    whole = stash(_points(base, k, percent), "points")
+    found = _candidates(base, whole, k, percent)
+    points = stash(whole.select("id", "n", "x"), "narrow-points")
+    unstash(whole)  # the heads are no longer needed
     roots = _links(found, percent).select(F.col("node").alias("x"), "root")
     unstash(found)
     release(spark)
