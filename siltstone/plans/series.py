@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import anomaly, industry, monitors
+from siltstone.operators import anomaly, industry, joint, monitors
 from siltstone.plans import query
 from siltstone.plans.profiling import _rounded, halves
 from siltstone.sources.tables import table
@@ -107,10 +107,35 @@ def _period(spark, sf_dir):
     return anomaly.dominant_period(_events(spark, sf_dir).select("event_type", "ts", "event_id", "value"), ["event_type"], ["ts", "event_id"], "value")
 
 
-@query("joint_outliers")
+#: A second channel that follows the quantity, but in one line of some orders strays while it stays in range.
+_LOAD = "l_quantity * 100 + l_discount * 500 + CASE WHEN l_orderkey % 97 = 0 AND l_linenumber = 1 THEN CASE WHEN l_quantity <= 25 THEN 1500 ELSE -1500 END ELSE 0 END"
+
+
+@query(
+    "joint_outliers",
+    f"""WITH v AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS a, CAST({_LOAD} AS DOUBLE) AS b FROM lineitem),
+       m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, corr(a, b) AS r FROM v),
+       z AS (SELECT l_orderkey, l_linenumber, (a - ma) / sa AS x, (b - mb) / sb AS y, r FROM v, m)
+       SELECT l_orderkey, l_linenumber FROM z WHERE greatest(abs(x - r * y), abs(y - r * x)) / sqrt(1 - r * r) > 6""",
+)
 def _joint(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return _rounded(anomaly.joint(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).where("anomaly"))
+    """Lines whose two channels disagree; clean ones stay far below any cut, planted ones lie far above."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("load", F.expr(_LOAD)).select("l_orderkey", "l_linenumber", "l_quantity", "load")
+    return joint.detect(rows, ["l_quantity", "load"]).where("anomaly").select("l_orderkey", "l_linenumber")
+
+
+@query(
+    "joint_fitted_once",
+    f"""WITH v AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS a, CAST({_LOAD} AS DOUBLE) AS b, l_linenumber > 1 AS old FROM lineitem),
+       m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, corr(a, b) AS r FROM v WHERE old),
+       z AS (SELECT (a - ma) / sa AS x, (b - mb) / sb AS y, r FROM v, m WHERE NOT old)
+       SELECT count(*) AS lines, count(*) FILTER (greatest(abs(x - r * y), abs(y - r * x)) / sqrt(1 - r * r) > 6) AS strays FROM z""",
+)
+def _joint_once(spark, sf_dir):
+    """First lines held against what the other lines of all orders show."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("load", F.expr(_LOAD)).select("l_linenumber", "l_quantity", "load")
+    made = joint.fit(rows.where("l_linenumber > 1"), ["l_quantity", "load"])
+    return made.apply(rows.where("l_linenumber = 1")).agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("anomaly"), 1)).alias("strays"))
 
 
 @query(
