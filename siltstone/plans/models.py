@@ -24,13 +24,13 @@ def _average_precision(spark, sf_dir):
 @query(
     "channel_features",
     """WITH e AS (SELECT event_id, user_id, value, event_id % 7 AS load, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS dv, event_id % 7 - lag(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id) AS dl FROM events)
-       SELECT event_id, round(avg(value) OVER w, 6) AS value_mean, round(stddev_pop(value) OVER w, 5) AS value_sd, round(coalesce(avg(dv * dv) OVER w, 0), 2) AS value_roughness,
-              CAST(max(load) OVER w AS DOUBLE) AS load_high, round(coalesce(avg(dl * dl) OVER w, 0), 5) AS load_roughness FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""",
+       SELECT event_id, round(avg(value) OVER w, 6) AS value_mean, round(stddev_pop(value) OVER w, 5) AS value_sd, round(coalesce(avg(dv * dv) OVER w, 0), 7) AS value_roughness,
+              CAST(max(load) OVER w AS DOUBLE) AS load_high, round(coalesce(avg(dl * dl) OVER w, 0), 7) AS load_roughness FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""",
 )
 def _features(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.col("event_id") % 7).alias("load"))
     out, _ = models.channel_features(e, ["user_id"], "event_id", ["value", "load"], 6)
-    return out.select("event_id", F.round("value mean", 6).alias("value_mean"), F.round("value sd", 5).alias("value_sd"), F.round("value roughness", 2).alias("value_roughness"), F.col("load high").alias("load_high"), F.round("load roughness", 5).alias("load_roughness"))
+    return out.select("event_id", F.round("value mean", 6).alias("value_mean"), F.round("value sd", 5).alias("value_sd"), F.round("value roughness", 7).alias("value_roughness"), F.col("load high").alias("load_high"), F.round("load roughness", 7).alias("load_roughness"))
 
 
 @query("failure_model")
