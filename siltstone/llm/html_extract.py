@@ -34,7 +34,8 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)",
     re.S,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after another, so that names are whole and values are not searched for names.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"'>]+)))?""")
 _RAW = ("script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "xmp", "title")
 _RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in _RAW}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -124,7 +125,9 @@ def parse(source: str) -> list[tuple[str, str, bool, bool]]:
         _, path, away, main = stack[-1] if stack else ("", "", False, False)
         marks = ""
         if found["attrs"]:
-            attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(found["attrs"])}
+            attrs: dict[str, str] = {}
+            for k, a, b, c in _ATTR.findall(found["attrs"]):
+                attrs.setdefault(k.lower(), a or b or c)  # of two of one name the first counts
             marks = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
             hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
             away = away or hidden or bool(marks and name not in ("html", "body", "article", "main") and _MARKS.search(marks))

@@ -69,3 +69,14 @@ def test_odd_pages(spark, as_rows):
 def test_clashing_columns(spark, as_rows):
     pages = spark.createDataFrame([(1, "http://a.b/c", "<p>text</p>", "x", "y", "z")], "page_id long, url string, html string, template string, host string, page string")
     assert [(r["template"], r["host"], r["page"], r["text"]) for r in as_rows(H.extract(pages))] == [("x", "y", "z", "text")]
+
+
+def test_attributes_are_read_whole():
+    """Names within other names or within values say nothing of an element."""
+    kept = [
+        '<p title="a hidden valley">text</p>', '<div data-hidden="false">text</div>', '<div data-id="menu">text</div>', '<p data-class=menu title=hidden>text</p>',
+        "<p title='class=\"menu\" hidden'>text</p>", '<div my-role="navigation" xclass="footer">text</div>', "<p lang=en>text</p>",
+    ]
+    gone = ['<p hidden>text</p>', '<div HIDDEN="">text</div>', '<div title="x"class="menu">text</div>', "<div class = 'a menu'>text</div>", "<div id=sidebar>text</div>", '<p style="color:red; display: none">text</p>', '<div aria-hidden="true">text</div>']
+    assert [H.article(x, set()) for x in kept] == [["text"]] * len(kept)
+    assert [H.article(x, set()) for x in gone] == [[]] * len(gone)
