@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.plans import QUERIES
-from siltstone.plans import baseline, extras, features, media, models, profiling, scores, series, splits, texts  # noqa: F401
+from siltstone.plans import baseline, extras, features, media, models, profiling, scores, series, splits, texts, topics  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
