@@ -17,8 +17,8 @@ joined with their places once, at the end.
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,26 +29,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm._common import free_name, python_ready, stash, unstash
+from siltstone.llm._shingles import text_bytes
 
 TOKENIZER = "word_bpe_49k.json"
-#: Bytes of text tokenised at a time, and words whose ids a worker remembers.
-SLICE_BYTES, REMEMBERED = 2 << 20, 600_000
+#: Bytes of text tokenised at a time, and pieces of words whose ids a worker remembers.
+SLICE_BYTES, REMEMBERED = 2 << 20, 1_000_000
 #: Pieces and gaps of a range that a task sweeps; the number of ranges follows the rows.
 ROWS_A_RANGE = 100_000
 
 
+def _table(*runs: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for first, last in runs:
+        out[first : last + 1] = True
+    return out
+
+
+#: Printable ASCII without the apostrophe; small letters; digits; second bytes of Latin letters in composed form (after C3), and of capital ones.
+_PRINT, _SMALL, _DIGIT = _table((33, 38), (40, 126)), _table((97, 122)), _table((48, 57))
+_LATIN, _CAPITAL = _table((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF)), _table((0x80, 0x96), (0x98, 0x9E))
+
+
 class WordTokenizer:
-    """Token ids of texts by way of their distinct words, and of the distinct pieces of words.
+    """Token ids of texts by way of the distinct pieces of their words.
 
     The tokenizer parts text at white space and drops it, so the ids of a text are those of its words in a row. Texts
     are parted at space and newline only; other white space stays inside a "word" and is dropped by the tokenizer. Words
-    of plain characters are parted further, as the tokenizer does after lower case, so that "word", "Word" and "word,"
-    cost one encoding of "word"; all other words go to the tokenizer whole.
+    whose lower case and parts are certain (ASCII without apostrophe, and Latin letters in composed form) are parted
+    further into runs of letters, single digits and runs of other characters, as the tokenizer does after lower case, so
+    that "word", "Word" and "word," cost one encoding of "word"; all other words go to the tokenizer whole. Parting is
+    done on the bytes of a whole slice; only pieces that are new to the worker are looked at one by one.
     """
 
-    #: Words whose lower case and parts are certain: ASCII without apostrophe, and Latin letters in composed form.
-    PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-    PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
     shared: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str) -> None:
@@ -56,7 +68,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, list[int]] = {}
         self.forget()
 
     @classmethod
@@ -67,37 +78,58 @@ class WordTokenizer:
         return cls.shared[path]
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
         self.flat, self.starts = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of words that aren't known yet."""
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
-        plain, parts, pieces = self.PLAIN.fullmatch, self.PARTS.findall, self.pieces
-        split = [parts(w.lower()) if plain(w) and "<|" not in w else [w] for w in new]
-        unknown = list({p for own in split for p in own if p not in pieces})
-        if unknown:
-            coded = self.tokenizer.encode_batch(unknown, add_special_tokens=False)
-            pieces.update((p, e.ids) for p, e in zip(unknown, coded))
-        flat: list[int] = []
-        ends = []
-        for own in split:
-            for p in own:
-                flat += pieces[p]
-            ends.append(len(flat))
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of pieces that aren't known yet."""
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.array(ends, np.int64)])
-        self.flat = np.concatenate([self.flat, np.array(flat, self.flat.dtype if max(flat, default=0) < 1 << 16 else np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in coded])])
+        flat = np.fromiter(itertools.chain.from_iterable(coded), np.uint32)
+        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype) if flat.max(initial=0) < 1 << 16 else flat])
+
+    @staticmethod
+    def _pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Where pieces start, and the pieces, of texts that lie end to end."""
+        n = len(data)
+        edge = np.zeros(n + 1, bool)
+        edge[bounds] = True
+        solid = (data != 32) & (data != 10)
+        first = solid.copy()
+        first[1:] &= ~solid[:-1] | edge[1:n]
+        # Two bytes of a Latin letter count as one letter; a text's bytes are whole characters.
+        lead = data == 0xC3
+        second = np.zeros(n, bool)
+        second[1:] = lead[:-1]
+        second &= _LATIN[data]
+        lead[:-1] &= second[1:]
+        lead[-1:] = False
+        wide = lead | second
+        odd = solid & ~(_PRINT[data] | wide)
+        odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124) & ~edge[1:n]  # "<|" may begin a special token
+        word = np.cumsum(first) - 1  # of solid bytes
+        strange = np.zeros(int(first.sum()) + 1, bool)
+        strange[word[odd]] = True
+        plain = solid & ~strange[word]
+        low = np.where(plain & ((data >= 65) & (data <= 90) | second & _CAPITAL[data]), data + 32, data).astype(np.uint8)
+        kind = np.where(plain & (_SMALL[low] | wide), 1, np.where(plain & _DIGIT[low], 2, 3))
+        cut = first.copy()
+        cut[1:] |= plain[1:] & plain[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        starts = np.flatnonzero(cut & solid)
+        kept = np.concatenate([[0], np.cumsum(solid, dtype=np.int64)])
+        offsets = np.append(kept[starts], kept[-1])
+        return starts, pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low[solid])])
 
     def encode(self, texts: pa.Array):
         """Flat ids (uint32) of all texts and the number of ids of each; a null text has none."""
-        import pyarrow.compute as pc
-
         if len(self.number) > REMEMBERED:
             self.forget()
-        parts = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), pattern="[ \n]+")
-        coded = parts.flatten().dictionary_encode()
+        data, bounds = text_bytes(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        places, pieces = self._pieces(data, bounds)
+        coded = pieces.dictionary_encode()
         names = coded.dictionary.to_pylist()
         known = self.number.get
         index = np.array([known(w, -1) for w in names], np.int64)
@@ -111,7 +143,7 @@ class WordTokenizer:
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(begin - (ends - size), size) + np.arange(total)] if total else np.zeros(0, np.uint32)
-        before = np.concatenate([[0], ends])[np.asarray(parts.offsets)]
+        before = np.concatenate([[0], ends])[np.searchsorted(places, bounds)]
         return ids.astype(np.uint32), np.diff(before)
 
 

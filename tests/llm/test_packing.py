@@ -100,3 +100,21 @@ def test_words_have_the_tokenizers_ids():
     for text, n in zip(texts, sizes.tolist()):
         assert ids[at : at + n].tolist() == t.encode(text, add_special_tokens=False).ids, text
         at += n
+
+
+def test_pieces_of_words_give_the_tokenizers_ids():
+    """Texts of odd characters, parted on their bytes, against the tokenizer itself."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    words = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(1)
+    letters = [*"abcXYZ019 '.,<|>-_\t\r\n  éÉß×÷ÐþÿſİK中\U0001f642́\xa0\x00\x1f\x7f\x85~!&()", "<|endoftext|>", " it's ", " Don't", "</w>", "Ａ", "ﬁ"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(0, 30))) for _ in range(5000)] + [None, "", " ", "\n", "É", "<", "|"]
+    ids, sizes = words.encode(pa.array(texts))
+    want = [e.ids for e in words.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert sizes.tolist() == [len(x) for x in want]
+    assert np.array_equal(ids, np.concatenate([np.array(x, np.uint32) for x in want]))
