@@ -37,10 +37,10 @@ def na_to_null(c: Column) -> Column:
 def parse_number(c: Column) -> Column:
     """1,234 and $12.50 and (300) and 45% as numbers; codes with leading zeros stay text (null here)."""
     t = F.trim(c)
-    minus = t.rlike(r"^\(.*\)$")
-    bare = F.regexp_replace(F.regexp_replace(t, r"^\((.*)\)$", "$1"), r"[$€£,\s]", "")
-    percent = bare.rlike("%$")
-    value = F.regexp_replace(bare, "%$", "").try_cast("double")
+    minus = t.startswith("(") & t.endswith(")") & (F.length(t) > 1)
+    bare = F.translate(F.when(minus, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t), "$€£, \t\n\r\f\v", "")
+    percent = bare.endswith("%")
+    value = F.when(percent, F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare).try_cast("double")
     value = F.when(percent, value / 100).otherwise(value)
     return F.when(~bare.rlike(r"^[+-]?0[0-9]"), F.when(minus, -value).otherwise(value))
 

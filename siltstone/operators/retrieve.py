@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: BM25's parameters.
 K1, B = 1.5, 0.75
+#: Terms of queries up to this many are broadcast; rows of a block of query vectors, and most blocks that are broadcast one by one.
+FEW_TERMS, BLOCK, BLOCKS = 100_000, 2048, 32
 
 
 def postings(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
@@ -18,11 +24,17 @@ def postings(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, terms, k: int = 5) -> DataFrame:
     """(query, id, score, rank): the k best documents of each query; terms: text column -> array.
 
-    Queries' distinct terms meet the postings by term; document counts and the mean length come from the whole table.
+    Documents are parted into terms once; only the queries' terms are counted by document, with one more row a document
+    for its length. Document counts and the mean length come from these rows.
     """
-    index = postings(docs, id_col, terms(F.col("text")))
-    stats = docs.select(F.size(terms(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg"))
-    q = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    q = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).where("term <> ''").checkpoint()
+    wanted = q.select("term").union(q.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    small = wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    rows = docs.select(F.col(id_col).alias("id"), terms(F.col("text")).alias("t"))
+    rows = rows.select("id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    counted = rows.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf")).checkpoint()  # at most FEW_TERMS terms
+    stats = counted.where("term = ''").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg"))
+    index = counted.where("term <> ''")
     dfs = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
@@ -45,12 +57,65 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 5) -> DataFrame:
     """(query, id, score, rank): the k most similar vectors of each query, exactly; the stated queries meet all rows.
 
-    The query side is broadcast by Spark only below its own size limit, else joined in blocks.
+    Queries are broadcast in blocks of BLOCK vectors. Each batch of rows meets a block in one matrix product and keeps, for
+    each query, what may be among its k best. With over BLOCKS blocks the two sides are joined.
     """
     q = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("qv"))
-    d = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("dv"))
-    hits = d.join(q, F.col("id") != F.col("query")).select("query", "id", F.round(cosine(F.col("qv"), F.col("dv")), 6).alias("score"))
-    return _best(hits, k)
+    many = q.limit(BLOCK * BLOCKS + 1).count()
+    if many > BLOCK * BLOCKS or not many:
+        d = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("dv"))
+        hits = d.join(q, F.col("id") != F.col("query")).select("query", "id", F.round(cosine(F.col("qv"), F.col("dv")), 6).alias("score"))
+        return _best(hits, k)
+    kind = vectors.schema[id_col].dataType.simpleString()
+    blocks = -(-many // BLOCK)
+    out = None
+    for number in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number)
+        rows = part.collect()  # about BLOCK rows
+        shared = vectors.sparkSession.sparkContext.broadcast(([r["query"] for r in rows], [r["qv"] for r in rows]))
+        found = vectors.select(id_col, F.col(vector).cast("array<double>")).mapInArrow(_near_block(shared, k), f"query {kind}, id {kind}, score double")
+        out = found if out is None else out.unionByName(found)
+    return _best(out.withColumn("score", F.round("score", 6)), k)
+
+
+def _near_block(shared, k: int):
+    """Worker of nearest(): candidates of each query of a block among a batch of rows."""
+
+    def unit(rows: list, width: int) -> np.ndarray:
+        """Rows of length one; of zeros: zero; without or of another width, or with a gap: nan."""
+        out = np.full((len(rows), width), np.nan)
+        for i, r in enumerate(rows):
+            if r is not None and len(r) == width and None not in r:
+                out[i] = r
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, norm, out=np.where(norm == 0, 0.0, out), where=norm > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, values = shared.value
+        widths = sorted({len(v) for v in values if v is not None}) or [0]
+        for batch in batches:
+            ids, rows = batch.column(0), batch.column(1).to_pylist()
+            places: dict = {}
+            for i, x in enumerate(ids.to_pylist()):
+                places.setdefault(x, []).append(i)
+            qs, ds, ss = [], [], []
+            for width in widths:
+                at = [i for i, v in enumerate(values) if (len(v) if v is not None else widths[0]) == width]
+                block = unit([values[i] for i in at], width) @ unit(rows, width).T
+                for i, scores in zip(at, block):
+                    order = np.where(np.isnan(scores), -2.0, scores)
+                    order[places.get(names[i], [])] = -3.0  # a row is no neighbour of its own
+                    take = np.flatnonzero(order > -3.0)
+                    if len(take) > k:
+                        bound = np.partition(order[take], len(take) - k)[len(take) - k]
+                        take = take[order[take] >= bound - 1e-5]  # scores that round alike are told apart by id later
+                    qs += [names[i]] * len(take)
+                    ds += take.tolist()
+                    ss += scores[take].tolist()
+            scores = pa.array(ss, pa.float64(), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([pa.array(qs, ids.type), ids.take(pa.array(ds, pa.int64())), scores], ["query", "id", "score"])
+
+    return run
 
 
 def blend(lexical: DataFrame, dense: DataFrame, weight: float = 0.5, k: int = 5) -> DataFrame:
