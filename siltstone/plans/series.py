@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import anomaly, industry, joint, monitors
+from siltstone.operators import anomaly, industry, joint, monitors, slopes
 from siltstone.plans import query
 from siltstone.plans.profiling import _rounded, halves
 from siltstone.sources.tables import table
@@ -107,6 +107,20 @@ def _period(spark, sf_dir):
     return anomaly.dominant_period(_events(spark, sf_dir).select("event_type", "ts", "event_id", "value"), ["event_type"], ["ts", "event_id"], "value")
 
 
+@query(
+    "theil_sen",
+    """WITH d AS (SELECT event_type, epoch_us(ts) // 86400000000 AS day, avg(value) AS v FROM events GROUP BY 1, 2), n AS (SELECT event_type, count(*) AS n FROM d GROUP BY 1),
+       p AS (SELECT a.event_type, (b.v - a.v) / (b.day - a.day) AS s, sign(b.v - a.v) AS g FROM d a JOIN d b ON a.event_type = b.event_type AND a.day < b.day),
+       m AS (SELECT event_type, quantile_cont(s, 0.5) AS slope, avg(g) AS tau FROM p GROUP BY 1)
+       SELECT event_type, n, round(slope, 6) AS slope, round(tau, 6) AS tau FROM m JOIN n USING (event_type)""",
+)
+def _theil_sen(spark, sf_dir):
+    """Trend of each event type's daily mean."""
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
+    daily = _events(spark, sf_dir).groupBy("event_type", day.alias("day")).agg(F.avg("value").alias("v"))
+    return slopes.theil_sen(daily, ["event_type"], "day", "v").select("event_type", "n", F.round("slope", 6).alias("slope"), F.round("tau", 6).alias("tau"))
+
+
 #: A second channel that follows the quantity, but in one line of some orders strays while it stays in range.
 _LOAD = "l_quantity * 100 + l_discount * 500 + CASE WHEN l_orderkey % 97 = 0 AND l_linenumber = 1 THEN CASE WHEN l_quantity <= 25 THEN 1500 ELSE -1500 END ELSE 0 END"
 
