@@ -132,6 +132,21 @@ def _sets_of(docs: DataFrame, k: int, wanted: Bitmap) -> DataFrame:
     return docs.mapInArrow(run, "x long, s array<long>")
 
 
+def _heads_in(points: DataFrame, wanted: Bitmap) -> DataFrame:
+    """(t, x, least): the shingles of points' heads that are in the bitmap."""
+    shared = points.sparkSession.sparkContext.broadcast(wanted)  # of a bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = batch.column(2)
+            flat = heads.flatten()
+            keep = np.flatnonzero(shared.value.has(flat.to_numpy(zero_copy_only=False).view(np.uint64)))
+            owner = np.repeat(np.arange(len(heads)), heads.value_lengths().to_numpy(zero_copy_only=False))[keep]
+            yield pa.RecordBatch.from_arrays([flat.take(pa.array(keep)), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner))], ["t", "x", "least"])
+
+    return points.where(F.col("head").isNotNull()).select("x", "least", "head").mapInArrow(run, "t long, x long, least int")
+
+
 def _candidates(docs: DataFrame, points: DataFrame, k: int, percent: int) -> DataFrame:
     """(x, n, s): points with enough shingles in their heads that are in the heads of others."""
     spark = docs.sparkSession
@@ -139,7 +154,9 @@ def _candidates(docs: DataFrame, points: DataFrame, k: int, percent: int) -> Dat
     shared = heads.groupBy("t").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where(F.col("lo") < F.col("hi")).select("t")
     shared = stash(shared, "shared")
     release(spark)
-    counted = heads.join(shared, "t", "left_semi").distinct().groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("least"))
+    # Most shingles are in one head only; the bitmap keeps them from being shuffled again, and the exact join decides.
+    thin = _heads_in(points, bitmap(shared, "t", shared.count()))
+    counted = thin.join(shared, "t", "left_semi").distinct().groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("least"))
     on = stash(counted.where(F.col("c") >= F.col("least")).select("x"), "on")
     release(spark)
     unstash(shared)
