@@ -48,7 +48,14 @@ def _r(spark, sf_dir):
     return _rounded(out.where("anomaly").select("event_id", "expected", "score"))
 
 
-@query("ts_ewma")
+@query(
+    "ts_ewma",
+    """WITH o AS (SELECT event_type, event_id, value, row_number() OVER w AS i, quantile_cont(value, 0.5) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS g FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+       m AS (SELECT b.event_type, b.event_id, b.value, sum(a.g * CASE WHEN a.i = 1 THEN pow(0.7, b.i - 2) ELSE 0.3 * pow(0.7, b.i - 1 - a.i) END) AS expected
+             FROM o b JOIN o a ON a.event_type = b.event_type AND a.i BETWEEN b.i - 100 AND b.i - 1 GROUP BY ALL),
+       s AS (SELECT event_type, 1.4826 * quantile_cont(abs(value - expected), 0.5) AS s FROM m GROUP BY 1)
+       SELECT event_id, round(expected, 6) AS expected, round(abs(value - expected) / s, 6) AS score FROM m JOIN s USING (event_type) WHERE abs(value - expected) / s > 3""",
+)
 def _ewma(spark, sf_dir):
     out = anomaly.ewma(_events(spark, sf_dir).select("event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"], "value")
     return _rounded(out.where("anomaly").select("event_id", "expected", "score"))

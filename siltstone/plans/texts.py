@@ -416,7 +416,15 @@ def _time(spark, sf_dir):
     return prepare.time_split(table(spark, sf_dir, "orders"), "o_orderdate").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("linked_groups")
+@query(
+    "linked_groups",
+    """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS row, l_orderkey AS k, CASE WHEN l_suppkey < 3 THEN l_suppkey END AS s FROM lineitem),
+       f AS (SELECT k, coalesce(bool_or(s = 0), false) AS h0, coalesce(bool_or(s = 1), false) AS h1, coalesce(bool_or(s = 2), false) AS h2, min(row) AS low, count(*) AS n FROM r GROUP BY k),
+       j AS (SELECT coalesce(bool_or(h0 AND h1), false) AS a, coalesce(bool_or(h0 AND h2), false) AS b, coalesce(bool_or(h1 AND h2), false) AS c FROM f),
+       h AS (SELECT -1 AS c0, CASE WHEN a OR (b AND c) THEN -1 ELSE -2 END AS c1, CASE WHEN b OR (a AND c) THEN -1 WHEN c THEN -2 ELSE -3 END AS c2 FROM j),
+       g AS (SELECT CASE WHEN h0 THEN c0 WHEN h1 THEN c1 WHEN h2 THEN c2 ELSE k END AS c, low, n FROM f, h)
+       SELECT min(low) AS "group", CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY c""",
+)
 def _linked(spark, sf_dir):
     o = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), "l_orderkey", F.when(F.col("l_suppkey") < 3, F.col("l_suppkey")).alias("s"))
     return prepare.linked_groups(o, ["l_orderkey", "s"], "row").groupBy("group").agg(F.count(F.lit(1)).alias("n"))
