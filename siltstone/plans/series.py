@@ -281,12 +281,29 @@ def _rules(spark, sf_dir):
     return _rounded(industry.rule_compliance(_events(spark, sf_dir), {"value": {"min": 1, "max": 150, "warn_min": 5, "warn_max": 100}}))
 
 
-@query("machine_health")
+@query(
+    "machine_health",
+    """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= ceil(count(*) OVER (PARTITION BY event_type) * 0.2) AS base FROM events),
+       b AS (SELECT event_type, quantile_cont(value, 0.5) AS m, stddev_pop(value) AS s FROM r WHERE base GROUP BY 1),
+       n AS (SELECT event_type, m, s, stddev_pop(value) AS sd, quantile_cont(value, 0.5) AS med, avg(CAST(abs(value - m) / s > 3.5 AS DOUBLE)) AS far, avg(CAST(value IS NULL AS DOUBLE)) AS gone
+             FROM r JOIN b USING (event_type) WHERE NOT base GROUP BY 1, 2, 3),
+       p AS (SELECT event_type, greatest(0, least(100, 100 * ln(greatest(sd / s, 1)) / ln(4))) AS stability, greatest(0, least(100, 100 * ln(greatest(abs(med - m) / s, 1)) / ln(1000))) AS level,
+             greatest(0, least(100, 100 * coalesce(far, 0) / 0.1)) AS anomaly, greatest(0, least(100, 100 * gone)) AS availability FROM n),
+       t AS (SELECT *, 100 - (0.3 * stability + 0.3 * level + 0.2 * anomaly + 0.2 * availability) AS score FROM p)
+       SELECT event_type, round(stability, 6) AS stability, round(level, 6) AS level, round(anomaly, 6) AS anomaly, round(availability, 6) AS availability, round(score, 6) AS score,
+              CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM t""",
+)
 def _health(spark, sf_dir):
     return _rounded(industry.machine_health(_events(spark, sf_dir), ["event_type"], "event_id", "value"))
 
 
-@query("remaining_life")
+@query(
+    "remaining_life",
+    """WITH w AS (SELECT event_type, event_id AS x, 100 - event_id / 200 + value / 100 AS score FROM events),
+       e AS (SELECT event_type, quantile_cont(x, 0.5) AS mid, max(x) AS last FROM w GROUP BY 1),
+       f AS (SELECT event_type, last, regr_slope(score, x) AS slope, regr_intercept(score, x) AS i FROM w JOIN e USING (event_type) WHERE x >= mid GROUP BY 1, 2)
+       SELECT event_type, round(slope, 6) AS slope, round(CASE WHEN slope < 0 THEN greatest(0, (30 - i) / slope - last) END, 6) AS remaining FROM f""",
+)
 def _life(spark, sf_dir):
     worn = _events(spark, sf_dir).withColumn("score", 100 - F.col("event_id") / 200 + F.col("value") / 100)
     return _rounded(industry.remaining_life(worn, ["event_type"], "event_id", "score"))
