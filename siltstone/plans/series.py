@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import anomaly, industry, joint, monitors, slopes
-from siltstone.plans import query
+from siltstone.plans import ORACLES, query
 from siltstone.plans.profiling import _rounded, halves
 from siltstone.sources.tables import table
 
@@ -72,7 +72,10 @@ def _seasonal(spark, sf_dir):
     return _rounded(out.where("anomaly").select("event_id", "expected", "score"))
 
 
-@query("ts_vote")
+_VOTES = " UNION ALL ".join(f"SELECT event_id FROM ({ORACLES[n]})" for n in ("ts_zscore", "ts_iqr", "ts_rolling"))
+
+
+@query("ts_vote", f"SELECT event_id, CAST(count(*) AS INTEGER) AS votes, true AS anomaly FROM ({_VOTES}) GROUP BY 1 HAVING count(*) * 2 > 3")
 def _vote(spark, sf_dir):
     e = _events(spark, sf_dir).select("event_id", "event_type", "ts", "value")
     frames = [anomaly.zscore(e, ["event_type"], "value"), anomaly.iqr(e, ["event_type"], "value"), anomaly.rolling(e, ["event_type"], ["ts", "event_id"], "value")]
