@@ -7,8 +7,13 @@ edit changes bits only in the blocks of the pairs that it touches: a changed wor
 two pairs, which leave three of five blocks as they are (pigeonhole). A pair's hash bits
 are spread into lanes of packed integers, so that one plain sum counts many bits, and
 sums are combined before the shuffle. Distinct lines are joined on every choice of two
-blocks. Candidates are those within RADIUS bits whose lengths fit; their edit similarity
-is verified.
+blocks, together with a cell of the logarithm of their length: neighbouring cells overlap
+by as much as the lengths of linked lines may differ. Candidates are those within RADIUS
+bits whose lengths fit; their edit similarity is verified.
+
+A key has few bits, so that of many lines most pairs in a bucket meet by chance. Buckets of
+two lines, nearly all of them, are judged from the least and greatest of their fingerprints
+and lengths while keys are counted; what can't be linked is out before any join.
 
 All lines of a bucket (lines with one key) are first compared with one of them, the same
 in all buckets that it is in; what is linked gets one color (its component so far), in
@@ -20,6 +25,7 @@ lines, not its square, and no link is lost.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +39,8 @@ from siltstone.llm._filters import release
 RADIUS, SIMILARITY, BLOCKS = 12, 0.9, 5
 #: Where both lines have as many words, the edit similarity is counted in words, else in characters.
 LONG = 20
+#: A cell of lengths is so many times as wide as linked lines may differ.
+CELL = 4
 #: Lines of other colors that meet the rest of their bucket; pivots of a bucket with more.
 WHOLE, PIVOTS = 2048, 8
 #: Lines of texts too short for so many words have sums in lanes of 16 bits, four to a long; others in lanes of 32 bits. No text's words fill a lane's lower bits, all but two.
@@ -122,15 +130,22 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _cells(least: float) -> Column:
+    """Cells of a line's length: one, or two near a cell's lower end. Lines whose lengths fit have one in common."""
+    step = max(0.0, -math.log(least)) + 1e-6 if least > 0 else math.inf  # rounding may not part what _near lets pass
+    at = F.log(F.col("len").cast("double")) / F.lit(CELL * step)
+    return F.array_compact(F.array(F.floor(at), F.when(at - F.floor(at) <= 1 / CELL, F.floor(at) - 1)))
+
+
 def _keys() -> Column:
-    """Keys of a line: each two blocks that pairs vote for; the whole fingerprint where there are no two."""
+    """Keys of a line in one cell: each two blocks that pairs vote for; the whole fingerprint where there are no two."""
     parts = [F.shiftrightunsigned(F.col("f"), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(EDGES, EDGES[1:])]
     out = []
     for i, j in combinations(range(BLOCKS), 2):
         some = F.col("e").bitwiseAND(F.lit(1 << i | 1 << j)) == 0
-        out.append(F.when(some, F.xxhash64(F.lit(i * BLOCKS + j), parts[i], parts[j])))
+        out.append(F.when(some, F.xxhash64(F.lit(i * BLOCKS + j), parts[i], parts[j], "cell")))
     few = F.bit_count("e") > BLOCKS - 2
-    out.append(F.when(few, F.xxhash64(F.lit(-1), "f", "e")))
+    out.append(F.when(few, F.xxhash64(F.lit(-1), "f", "e", "cell")))
     return F.array_compact(F.array(*out))
 
 
@@ -155,11 +170,18 @@ def _near(radius: int, least: float) -> Column:
     return (F.bit_count(F.col("f").bitwiseXOR(F.col("fb"))) <= radius) & (long - short <= F.floor(long * (1 - least) + 1e-9))
 
 
+def _shared(rows: DataFrame, radius: int, least: float) -> DataFrame:
+    """Keys of buckets that may hold a link: those of three lines or more, and of two lines that are near."""
+    ends = [F.min("f").alias("f"), F.max("f").alias("fb"), F.min("len").alias("len"), F.max("len").alias("lenb")]
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *ends)
+    return sizes.where((F.col("n") > 2) | ((F.col("n") == 2) & _near(radius, least))).select("k")
+
+
 def find_links(docs: DataFrame, doc_id: str, text: str, points: DataFrame, radius: int, least: float) -> DataFrame:
-    """(node, root) of lines that are linked: points are (h, f, e, len, d: id of a document that has it)."""
+    """(node, root) of lines that are linked: points are (h, f, e, len; d, p: where a document has it)."""
     spark = docs.sparkSession
-    rows = points.select("h", "f", "len", F.explode(_keys()).alias("k"))
-    sizes = stash(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("k"), "buckets")
+    rows = points.select("h", "f", "e", "len", F.explode(_cells(least)).alias("cell")).select("h", "f", "len", F.explode(_keys()).alias("k"))
+    sizes = stash(_shared(rows, radius, least), "buckets")
     rows = stash(maybe_in(rows, "k", bit_table(sizes, "k")).join(sizes, "k", "left_semi"), "members")
     unstash(sizes)
     release(spark)
@@ -182,7 +204,7 @@ def find_links(docs: DataFrame, doc_id: str, text: str, points: DataFrame, radiu
         mates = mates.select("k", F.col("h").alias("b"), F.col("f").alias("fb"), F.col("len").alias("lenb"), F.col("color").alias("cb"))
         pairs = bucket.join(mates, "k").where((F.col("color") != F.col("cb")) & _near(radius, least))
         pairs = stash(pairs.select(F.least("h", "b").alias("a"), F.greatest("h", "b").alias("b")).distinct(), "pairs")
-        new = stash(_verified(pairs, _texts(docs, doc_id, text, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(points.select("h", "d"), "h")), least), "links")
+        new = stash(_verified(pairs, _texts(docs, doc_id, text, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(points.select("h", "d", "p"), "h")), least), "links")
         colors = merged(colors, new)
         unstash(pairs)
         unstash(new)
@@ -199,10 +221,11 @@ def find_links(docs: DataFrame, doc_id: str, text: str, points: DataFrame, radiu
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(h, line) of the wanted hashes of lines, from the documents d that have them."""
-    wanted = stash(wanted, "wanted")
+    """(h, line) of the wanted hashes of lines, from the places d, p that have them."""
+    wanted = stash(wanted.withColumn("at", F.xxhash64("d", "p")), "wanted")
     of = maybe_in(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")), "d", bit_table(wanted, "d"))
-    raw = of.select(F.explode(F.split("t", "\n")).alias("line")).select(normalised(F.col("line")).alias("line"))
+    raw = of.select("d", F.posexplode(F.split("t", "\n")).alias("p", "line")).withColumn("at", F.xxhash64("d", "p"))
+    raw = maybe_in(raw, "at", bit_table(wanted, "at")).select(normalised(F.col("line")).alias("line"))
     found = maybe_in(raw.select(F.xxhash64("line").alias("h"), "line"), "h", bit_table(wanted, "h")).join(wanted, "h", "left_semi")
     return stash(found.groupBy("h").agg(F.first("line").alias("line")), "texts")
 
@@ -234,7 +257,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
     v is a hash of the document's text: equal rows (same id, same text) are one document, whose lines count once.
     """
     lines = stash(line_table(docs, doc_id, text), "lines")
-    distinct = stash(lines.groupBy("h").agg(*[F.first(c).alias(c) for c in ("f", "e", "len", "d")]), "distinct-lines")
+    distinct = stash(lines.groupBy("h").agg(*[F.first(c).alias(c) for c in ("f", "e", "len", "d", "p")]), "distinct-lines")
     roots = find_links(docs, doc_id, text, distinct, radius, least).select(F.col("node").alias("h"), "root")
     unstash(distinct)
     grouped = stash(lines.select("d", "v", "p", "h").join(roots, "h", "left").select("d", "v", "p", "h", F.coalesce("root", "h").alias("g")), "grouped-lines")

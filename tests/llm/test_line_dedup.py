@@ -139,3 +139,32 @@ def test_odd_rows(odd_docs, no_docs, as_rows):
     assert len(rows) == odd_docs.count()
     assert {r["doc_id"]: r["text"] for r in rows}[9] == "" and {r["doc_id"]: r["text"] for r in rows}[8] == "one"
     assert as_rows(L.dedup_lines(no_docs)) == []
+
+
+def test_lines_that_meet_by_chance_are_out_before_a_join(spark, as_rows, monkeypatch):
+    """Of 60,000 random fingerprints some 370 pairs share two blocks, a number that grows with the square of the lines."""
+    from pyspark.sql import functions as F
+
+    seen, stash = [], L.stash
+
+    def counted(df, name):
+        out = stash(df, name)
+        if name == "members":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "stash", counted)
+    ids = spark.range(60_000).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(1)).alias("f"), F.lit(0).alias("e"), (F.col("id") % 500 + 20).cast("int").alias("len"), F.col("id").alias("d"), F.lit(0).alias("p"))
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert as_rows(L.find_links(docs, "doc_id", "text", ids, L.RADIUS, L.SIMILARITY)) == []
+    assert seen and seen[0] <= 60
+
+
+@pytest.mark.parametrize("least", [0.9, 0.5, 1.0])
+def test_lengths_that_fit_share_a_cell(spark, least):
+    from pyspark.sql import functions as F
+
+    cells = {r["len"]: set(r["c"]) for r in spark.range(1, 701).select(F.col("id").cast("int").alias("len")).select("len", L._cells(least).alias("c")).collect()}
+    fit = [(a, b) for b in cells for a in range(1, b + 1) if b - a <= int(b * (1 - least) + 1e-9)]
+    assert len(fit) >= 700 and all(cells[a] & cells[b] for a, b in fit)
+    assert sum(map(len, cells.values())) <= 1.5 * len(cells)
