@@ -168,3 +168,50 @@ def test_lengths_that_fit_share_a_cell(spark, least):
     fit = [(a, b) for b in cells for a in range(1, b + 1) if b - a <= int(b * (1 - least) + 1e-9)]
     assert len(fit) >= 700 and all(cells[a] & cells[b] for a, b in fit)
     assert sum(map(len, cells.values())) <= 1.5 * len(cells)
+
+
+def test_keys_of_single_lines_are_out_before_the_exact_join(spark, monkeypatch):
+    """A semi-join would be pushed below the filter of keys, and all keys of all lines would be shuffled."""
+    from pyspark.sql import functions as F
+
+    plans, stash = [], L.stash
+
+    def seen(df, name):
+        if name == "members" and not plans:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stash(df, name)
+
+    monkeypatch.setattr(L, "stash", seen)
+    ids = spark.range(200).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(1)).alias("f"), F.lit(0).alias("e"), F.lit(20).alias("len"), F.col("id").alias("d"), F.lit(0).alias("p"))
+    L.find_links(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", ids, L.RADIUS, L.SIMILARITY)
+    joins = [x for x in plans[0].splitlines() if "Join " in x]
+    assert len(joins) == 2 and "slot#" not in joins[0] and "slot#" in joins[1]
+
+
+@pytest.mark.parametrize("n", [20_000, 400_000])
+def test_filters_pass_the_same_share_of_others_at_any_size(spark, n):
+    keys, others = spark.range(n).toDF("k"), spark.range(1 << 40, (1 << 40) + 200_000).toDF("k")
+    many = L.slots(keys)
+    assert L.maybe_in(keys, "k", L.bit_table(keys, "k", many), many).count() == n
+    assert 2000 < L.maybe_in(others, "k", L.bit_table(keys, "k", many), many).count() < 4500
+
+
+def test_costly_expressions_of_lines_are_not_evaluated_for_a_filter(spark, sf):
+    """An inner explode adds a filter on the size of what it takes apart, and with it a second evaluation."""
+    plan = L.line_table(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", 16)._jdf.queryExecution().optimizedPlan().toString()
+    filters = "".join(re.findall(r"^[ :+-]*Filter .*", plan, re.M))
+    assert "RLIKE" in filters and "regexp_replace" not in filters and "size(" not in filters
+
+
+def test_counts_of_lines_of_any_number_of_words(spark, as_rows):
+    """Words are counted PAIRS at a time; the last row of a line may have fewer."""
+    docs = [(n, " ".join(f"u{i * 5 % 9}" for i in range(n))) for n in [*range(1, 4 * L.PAIRS), 127, 128, 129]]
+    got = as_rows(L.line_table(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"))
+    assert {r["d"]: (r["f"] & ((1 << 64) - 1), r["e"]) for r in got} == {n: fingerprint(t) for n, t in docs}
+
+
+def test_gaps(spark, as_rows):
+    lines = ["", " ", "a", " a  b ", "a-b", "a - b", "a -b", "a- b", "--a", "a--", "Ä\u00a0ß", "x\t y", "\u0130I 1\u2167", "a . . b", "  ,a,  b  ,"]
+    want = [re.sub(r"[^a-zäß0-9\u2170-\u217fı]+", " ", x.lower()).strip() for x in lines]
+    got = {r["i"]: r["x"] for r in as_rows(spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", L.normalised(L.F.col("line")).alias("x")))}
+    assert got == dict(enumerate(want))
