@@ -6,25 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm._common import stash, unstash
+from siltstone.llm._filters import release
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long): root is the smallest node that it is connected with.
 
-    Large-star and small-star steps in turn (Kiveris et al., 2014) until no edge changes: the number of rounds grows
-    with the logarithm of the number of nodes in practice, and a hub's edges are spread by the joins. Each round is
-    written to the shared folder. Only a count and a checksum reach the driver.
+    Large-star and small-star steps in turn (Kiveris et al., 2014) until all edges lead to roots: the number of rounds
+    grows with the logarithm of the number of nodes in practice, and a hub's edges are spread by the joins. Each round is
+    written to the shared folder. Only a count reaches the driver, and after each round it lets go of what it holds of it.
     """
     now = stash(_clean(edges.select("a", "b")), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not _stars(now):
         new = stash(_small(_large(now)), "edges")
-        after = _mark(new)
         unstash(now)
         now = new
-        if after == mark:
-            break
-        mark = after
+        release(edges.sparkSession)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -34,15 +31,18 @@ def _clean(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node with an edge to a smaller one has another edge; neither step would change an edge then."""
+    up, down = (F.struct(F.col(c).alias("node"), F.lit(n).alias("up")) for c, n in (("a", 1), ("b", 0)))
+    nodes = edges.select(F.inline(F.array(up, down))).groupBy("node").agg(F.max("up").alias("up"), F.count(F.lit(1)).alias("n"))
+    return not nodes.where("up = 1 and n > 1").limit(1).count()
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return _clean(both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    # Edges lead to smaller nodes, so a node without one of its own is the least itself.
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
+    return _clean(edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")))
 
 
 def _small(edges: DataFrame) -> DataFrame:

@@ -270,6 +270,7 @@ def _links(found: DataFrame, percent: int) -> DataFrame:
             links = links.unionByName(x)
         colors = merged(colors, links)
         unstash(region)
+        release(spark)
         if not more:
             for x in (shingles, ranked):
                 unstash(x)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm._common import free_name, python_ready, stash, unstash
+from siltstone.llm._filters import release
 from siltstone.llm._shingles import text_bytes
 
 TOKENIZER = "word_bpe_49k.json"
@@ -290,6 +291,7 @@ def assign(pieces: DataFrame, capacity: int, row: str) -> DataFrame:
             if old is not None:
                 unstash(old)
         widest = gaps.agg(F.max("g")).first()[0] or 0
+        release(spark)
         turn += 1
     if not placed:
         return pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c != row], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
