@@ -3,30 +3,49 @@
 Learning is a few aggregations by series; only the last rows of each series are looked at one
 by one. Scoring joins the tables and looks at no other row of the batch, so it neither shifts the
 baseline nor depends on what comes later, and works on a stream as it does on a table. Quantiles
-are of mergeable sketches, off by at most one rank in ACCURACY.
+are exact: mergeable sketches bound each, and the values between the bounds are counted.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.anomaly import IQR_SIGMA, MAD_SIGMA
+from siltstone.operators.anomaly import MAD_SIGMA
 from siltstone.operators.splits import running
 
 METHODS = ("auto", "all", "zscore", "iqr", "rolling", "seasonal", "ewma")
-ACCURACY = 100_000
+#: A sketch is off by at most one rank in ACCURACY; bounds lie MARGIN times as far from the rank asked for. Quartiles' width of a normal value's deviation.
+ACCURACY, MARGIN, QUARTILES = 100_000, 4, 1.349
 #: A spread below this share of the largest value is rounding; weight of the newest value; weights below this are nothing.
 NOISE, ALPHA, TINY = 1e-12, 0.3, 1e-12
 #: Series up to this many have their baselines broadcast (at most about 100 bytes each).
 FEW_SERIES = 100_000
 
 
-def _middle(value: Column) -> Column:
-    return F.percentile_approx(value, 0.5, ACCURACY)
+def quantiles(rows: DataFrame, keys: list[str], value: Column, shares: list[float], name: str) -> DataFrame:
+    """keys with ``name``: for each share the known value of that rank (rounded up) among those of the keys, exactly; rows are read twice.
+
+    Values between the bounds of a share are counted one by one: a few in ACCURACY of the keys' values.
+    """
+    known = rows.select(*keys, value.alias("x")).where("x is not null")
+    step = MARGIN / ACCURACY
+    bounds = [min(max(s + d, 0.0), 1.0) for s in shares for d in (-step, step)]
+    ranged = known.groupBy(*keys).agg(F.percentile_approx("x", bounds, ACCURACY).alias("b"), F.count(F.lit(1)).alias("of"))
+    places = range(len(shares))
+    inside = [(F.col("x") >= F.col("b")[2 * i]) & (F.col("x") <= F.col("b")[2 * i + 1]) for i in places]
+    near = reduce(Column.__or__, inside)
+    below = [F.count_if(F.col("x") < F.col("b")[2 * i]).alias(f"below {i}") for i in places]
+    cells = known.join(ranged, keys).groupBy(*keys, "of", "b", F.when(near, F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("n"), *below)
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cells.select(*keys, "x", "of", *[(F.sum(f"below {i}").over(whole) + F.sum(F.when(c, F.col("n")).otherwise(0)).over(upto)).alias(f"upto {i}") for i, c in enumerate(inside)], *[c.alias(f"in {i}") for i, c in enumerate(inside)])
+    hits = [F.min(F.when(F.col(f"in {i}") & (F.col(f"upto {i}") >= F.ceil(F.col("of") * s)), F.col("x"))) for i, s in enumerate(shares)]
+    return placed.groupBy(*keys).agg(F.array(*hits).alias(name))
 
 
 @dataclass
@@ -75,10 +94,10 @@ class Detector:
         n = rows.groupBy(*self.series).agg(F.count(F.lit(1)).alias("n"))
         if not n.limit(1).count():
             raise ValueError("cannot fit on an empty history")
-        q = F.percentile_approx("v", [0.25, 0.5, 0.75], ACCURACY)
-        whole = rows.groupBy(*self.series).agg(F.count(F.lit(1)).alias("n"), q.alias("q"), F.stddev_pop("v").alias("sd"), F.max(F.abs("v")).alias("top"), F.max("at").alias("last"))
+        whole = rows.groupBy(*self.series).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("v").alias("sd"), F.max(F.abs("v")).alias("top"), F.max("at").alias("last"))
+        whole = whole.join(quantiles(rows, self.series, F.col("v"), [0.25, 0.5, 0.75], "q"), self.series)
         kind = F.lit(self.fitted) if self.fitted != "auto" else F.when(F.col("n") >= 30, "rolling").otherwise("zscore")
-        whole = whole.withColumn("method", kind)
+        whole = whole.withColumn("method", kind).checkpoint()  # a row for each series
         self.profile = None
         if self.fitted == "seasonal":
             self._fit_season(rows, whole)
@@ -120,21 +139,26 @@ class Detector:
         halves = [(F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2 for s in sides]
         around = rows.withColumn("m", F.coalesce((halves[0] + halves[1]) / 2, *halves))
         tail = self._tail(rows, whole, F.greatest(F.lit(7), F.floor(F.col("n") / 20)))
-        newest = tail.groupBy(*self.series).agg(_middle(F.col("v")).alias("newest"))
+        newest = self._middles(tail, F.col("v"), "newest")
         both = around.join(newest, self.series).join(whole.select(*self.series, "method", F.col("q")[1].alias("middle")), self.series)
         rolls = F.col("method") == "rolling"
         level = F.when(rolls, F.col("newest")).otherwise(F.col("middle"))
         return both.select(*self.series, level.alias("level"), (F.col("v") - F.when(rolls, F.coalesce("m", "v")).otherwise(F.col("middle"))).alias("e"))
 
+    def _middles(self, rows: DataFrame, value: Column, name: str, *more: str) -> DataFrame:
+        """(series, more, name): the median of a value, the lesser of two in the middle."""
+        keys = [*self.series, *more]
+        return quantiles(rows, keys, value, [0.5], name).withColumn(name, F.col(name)[0])
+
     def _with_scale(self, near: DataFrame, whole: DataFrame) -> DataFrame:
         """whole with level, scale and its kind: the spread asked for, else the median distance, else the deviation; null if all are rounding."""
-        q = near.groupBy(*self.series, "level").agg(F.percentile_approx("e", [0.25, 0.5, 0.75], ACCURACY).alias("eq"), F.stddev_pop("e").alias("esd"))
-        mad = near.join(q.select(*self.series, F.col("eq")[1].alias("em")), self.series).groupBy(*self.series).agg(_middle(F.abs(F.col("e") - F.col("em"))).alias("mad"))
+        q = near.groupBy(*self.series, "level").agg(F.stddev_pop("e").alias("esd")).join(self._middles(near, F.col("e"), "em"), self.series).checkpoint()  # a row for each series
+        mad = self._middles(near.join(q.select(*self.series, "em"), self.series), F.abs(F.col("e") - F.col("em")), "mad")
         all_ = whole.join(q, self.series).join(mad, self.series)
         floor = F.greatest(F.col("top"), F.lit(1e-300)) * NOISE
         ladder = [("mad", MAD_SIGMA * F.col("mad")), ("std", F.col("esd"))]
         if self.fitted == "iqr":
-            ladder.insert(0, ("iqr", (F.col("eq")[2] - F.col("eq")[0]) * IQR_SIGMA))
+            ladder.insert(0, ("iqr", (F.col("q")[2] - F.col("q")[0]) / QUARTILES))  # residuals are the values less one level
         scale, kind = F.lit(None).cast("double"), F.lit("none")
         for name, s in reversed(ladder):
             scale, kind = F.when(s > floor, s).otherwise(scale), F.when(s > floor, name).otherwise(kind)
@@ -148,13 +172,13 @@ class Detector:
             one = rows.withColumn("place", F.struct("at", "v", F.monotonically_increasing_id().alias("tie"))).withColumn("one", F.lit(1))
             phased = running(one, self.series, "place", "one").withColumn("phase", F.pmod(F.col("upto") - 1, F.lit(period)).cast("int")).drop("place", "one")
         middle = phased.join(whole.select(*self.series, F.col("q")[1].alias("middle")), self.series)
-        offsets = middle.groupBy(*self.series, "phase").agg((_middle(F.col("v") - F.col("middle"))).alias("offset"))
-        centre = offsets.groupBy(*self.series).agg(_middle(F.col("offset")).alias("c"))
+        offsets = self._middles(middle, F.col("v") - F.col("middle"), "offset", "phase").checkpoint()  # a row for each phase
+        centre = self._middles(offsets, F.col("offset"), "c")
         self.profile = offsets.join(centre, self.series).select(*self.series, "phase", (F.col("offset") - F.col("c")).alias("offset")).checkpoint()
         clean = phased.join(self.profile, [*self.series, "phase"]).withColumn("v", F.col("v") - F.col("offset"))
         tail = self._tail(clean.select(*self.series, "at", "v"), whole, F.lit(period))
-        level = tail.groupBy(*self.series).agg(_middle(F.col("v")).alias("newest"))
-        middles = clean.groupBy(*self.series).agg(_middle(F.col("v")).alias("level"))
+        level = self._middles(tail, F.col("v"), "newest")
+        middles = self._middles(clean, F.col("v"), "level").checkpoint()  # a row for each series
         near = clean.join(middles, self.series).select(*self.series, "level", (F.col("v") - F.col("level")).alias("e"))
         table = self._with_scale(near, whole).join(level, self.series).withColumn("level", F.col("newest")).drop("newest")
         self.table = table.withColumn("next_phase", F.pmod(F.col("n"), F.lit(period)).cast("int")).checkpoint()

@@ -52,6 +52,17 @@ def test_levels_against_plain_computation(spark):
     assert math.isclose(Detector(["s"], "k", "v", "ewma").fit(data).table.first()["level"], mean, rel_tol=1e-9)
 
 
+def test_quantiles_of_many_values(spark):
+    rows = 240_007
+    v = F.pmod(F.col("id") * 7919, F.lit(rows)).cast("double")
+    data = spark.range(0, rows, 1, 6).select((F.col("id") % 2).alias("s"), F.col("id").alias("k"), v.alias("v"))
+    made = {r["s"]: r for r in Detector(["s"], "k", "v", "iqr").fit(data).table.collect()}
+    for s in (0, 1):
+        values = sorted(k * 7919 % rows for k in range(s, rows, 2))
+        low, middle, high = (values[math.ceil(p * len(values)) - 1] for p in (0.25, 0.5, 0.75))
+        assert made[s]["level"] == middle and made[s]["scale"] == (high - low) / 1.349
+
+
 def test_a_season_keeps_its_phase(spark):
     rng = random.Random(0)
     wave = [20 + 5 * math.sin(2 * math.pi * k / 24) + rng.gauss(0, 0.2) for k in range(96 + 7)]
