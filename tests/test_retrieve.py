@@ -34,3 +34,21 @@ def test_search_with_many_terms(spark, sf, monkeypatch):
     few = retrieve.bm25(docs, items, "doc_id", "item_id", X.ascii_words).collect()
     monkeypatch.setattr(retrieve, "FEW_TERMS", 1)
     assert sorted(retrieve.bm25(docs, items, "doc_id", "item_id", X.ascii_words).collect()) == sorted(few)
+
+
+def test_metrics_of_an_item_without_good_documents(spark, tmp_path):
+    from oracle import difference
+
+    from siltstone import plans
+    from siltstone.plans import catalog  # noqa: F401
+
+    made = {
+        "documents": spark.createDataFrame([(1, "red apple"), (2, "blue sky today"), (3, "red sky")], "doc_id long, text string"),
+        "benchmark": spark.createDataFrame([(1, "red apple"), (2, "today")], "item_id long, text string"),
+        "labels": spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"),
+    }
+    for name, df in made.items():
+        df.toPandas().to_parquet(f"{tmp_path}/{name}.parquet")
+    out = plans.QUERIES["rag_metrics"](spark, f"file://{tmp_path}")
+    assert {r["query"]: r["ndcg"] for r in out.collect()}[2] == 0.0
+    assert difference(out, str(tmp_path), plans.ORACLES["rag_metrics"]) == ""
