@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 from siltstone.operators import retrieve
 
 
@@ -52,3 +54,36 @@ def test_metrics_of_an_item_without_good_documents(spark, tmp_path):
     out = plans.QUERIES["rag_metrics"](spark, f"file://{tmp_path}")
     assert {r["query"]: r["ndcg"] for r in out.collect()}[2] == 0.0
     assert difference(out, str(tmp_path), plans.ORACLES["rag_metrics"]) == ""
+
+
+def test_search_against_plain_scores(spark):
+    import types
+
+    import pyarrow as pa
+
+    from siltstone.functions import text as X
+
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(30)]
+    docs = {k: None if k % 40 == 7 else " ".join(rng.choices(words, [1 / (i + 1) for i in range(30)], k=rng.randint(0, 25))) for k in range(400)}
+    items = {1: "w0 w3 w3 W9", 2: "none", 3: "w1", 4: " ".join(words)}
+    bags = {k: (t or "").split() for k, t in docs.items()}
+    mean = sum(map(len, bags.values())) / sum(t is not None for t in docs.values())
+    df = {w: sum(w in b for b in bags.values()) for w in words}
+    want = []
+    for q, text in items.items():
+        scores = {}
+        for k, b in bags.items():
+            hit = [w for w in set(text.lower().split()) if w in b]
+            if hit:
+                parts = (math.log(1 + (400 - df[w] + 0.5) / (df[w] + 0.5)) * b.count(w) * 2.5 / (b.count(w) + 1.5 * (0.25 + 0.75 * len(b) / mean)) for w in hit)
+                scores[k] = round(sum(parts), 6)
+        want += [(q, k, i + 1) for i, k in enumerate(sorted(scores, key=lambda k: (-scores[k], k))[:6])]
+    frame = spark.createDataFrame(list(docs.items()), "d long, text string").repartition(3)
+    got = retrieve.bm25(frame, spark.createDataFrame(list(items.items()), "q long, text string"), "d", "q", X.ascii_words, 6)
+    assert sorted((r["query"], r["id"], r["rank"]) for r in got.collect()) == sorted(want)
+    # A task hands on little more than the best of each query, however many documents match.
+    shared = types.SimpleNamespace(value=(["a"], [[0]], np.array([1.0]), 4.0, [9]))
+    batch = pa.record_batch([pa.array(range(5000)), pa.array([["a"] + ["b"] * (k % 50) for k in range(5000)])], ["id", "t"])
+    rows = [b.num_rows for b in retrieve._scorer(shared, 5)(iter([batch]))]
+    assert 5 <= sum(rows) <= 200
