@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,8 @@ PENALTIES = {
     "warning": 5.0,
     "info": 0.5,
 }
+#: A sketch is off by at most one rank in ACCURACY; bounds of quartiles lie MARGIN times as far off.
+ACCURACY, MARGIN = 20_000, 4
 GRADES = [(90, "A"), (75, "B"), (50, "C"), (0, "D")]
 
 
@@ -24,9 +27,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def missing_findings(df: DataFrame) -> DataFrame:
+def missing_findings(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """column, share and severity of missing values: over half is critical, from 5 percent a warning, else info."""
-    p = profile_columns(df).where("n_missing > 0")
+    p = (profile or profile_columns(df)).where("n_missing > 0")
     share = F.col("n_missing") / F.col("n_rows")
     severity = F.when(share > 0.5, "critical").when(share >= 0.05, "warning").otherwise("info")
     return p.select("column", share.alias("share"), severity.alias("severity"))
@@ -41,35 +44,71 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     )
 
 
-def constant_findings(df: DataFrame, near: float = 0.99) -> DataFrame:
+def constant_findings(df: DataFrame, near: float = 0.99, profile: DataFrame | None = None) -> DataFrame:
     """Columns with one value, or whose commonest value holds more than ``near`` of the known rows."""
-    p = profile_columns(df).withColumn("known", F.col("n_rows") - F.col("n_missing")).where("known > 0")
+    p = (profile or profile_columns(df)).withColumn("known", F.col("n_rows") - F.col("n_missing")).where("known > 0")
     share = F.col("top_count") / F.col("known")
     kind = F.when(F.col("n_unique") == 1, "constant").when(share > near, "near_constant")
     return p.select("column", kind.alias("kind"), share.alias("top_share")).where("kind is not null")
 
 
-def cardinality_findings(df: DataFrame, unique: float = 0.98, categories: int = 50) -> DataFrame:
+def cardinality_findings(df: DataFrame, unique: float = 0.98, categories: int = 50, profile: DataFrame | None = None) -> DataFrame:
     """Columns that look like row ids (share of distinct values) or have too many categories (text only)."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    p = profile_columns(df).withColumn("known", F.col("n_rows") - F.col("n_missing")).where("known > 0")
+    p = (profile or profile_columns(df)).withColumn("known", F.col("n_rows") - F.col("n_missing")).where("known > 0")
     ratio = F.col("n_unique") / F.col("known")
     kind = F.when(ratio > unique, "id_like").when((F.col("n_unique") > categories) & F.col("column").isin(text), "high_cardinality")
     return p.select("column", kind.alias("kind"), "n_unique", ratio.alias("unique_ratio")).where("kind is not null")
 
 
+def quartiles(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:
+    """Each numeric column's quartiles by linear interpolation, exactly, in three reads.
+
+    Sketches bound the ranks asked for, and only values between the bounds (a few in ACCURACY) are counted one by one:
+    counting all values of a column takes room for each distinct one.
+    """
+    v = [F.col(f"`{c}`").cast("double") for c in columns]
+    step = MARGIN / ACCURACY
+    first = df.agg(*[F.percentile_approx(x, [0.25 - step, 0.25 + step, 0.75 - step, 0.75 + step], ACCURACY).alias(f"b{i}") for i, x in enumerate(v)], *[F.count(x).alias(f"n{i}") for i, x in enumerate(v)]).first()
+    full = [i for i in range(len(v)) if first[f"n{i}"]]
+    if not full:
+        return {c: (None, None) for c in columns}
+    # Of a small column all values are counted: its ranks lie next to the bounds.
+    spans = {}
+    for i in full:
+        n, b = first[f"n{i}"], first[f"b{i}"]
+        spans[i] = [(b[0], b[1]), (b[2], b[3])] if n >= ACCURACY else [(None, None)] * 2
+    inside = lambda i, s: F.lit(True) if spans[i][s][0] is None else (v[i] >= spans[i][s][0]) & (v[i] <= spans[i][s][1])
+    below = df.agg(*[(F.lit(0) if spans[i][s][0] is None else F.count_if(v[i] < spans[i][s][0])).alias(f"{i} {s}") for i in full for s in (0, 1)]).first()
+    cells = [F.when(v[i].isNotNull() & inside(i, s), F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"), v[i].alias("x"))) for i in full for s in (0, 1)]
+    near = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.i", "c.s", "c.x").agg(F.count(F.lit(1)).alias("n"))
+    upto = near.withColumn("upto", F.sum("n").over(Window.partitionBy("i", "s").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    at = {(i, s): (first[f"n{i}"] - 1) * (0.25, 0.75)[s] for i in full for s in (0, 1)}
+    asked = [(i, s, rank + 1 - below[f"{i} {s}"]) for (i, s), p in at.items() for rank in {math.floor(p), math.ceil(p)}]
+    ranks = df.sparkSession.createDataFrame(asked, "i int, s int, rank long")  # four rows a column at most
+    found = {(r["i"], r["s"], r["rank"]): r["x"] for r in upto.join(F.broadcast(ranks), ["i", "s"]).where("upto >= rank and upto - n < rank").collect()}
+    out: dict[str, tuple[float | None, float | None]] = {c: (None, None) for c in columns}
+    for i in full:
+        ends = []
+        for s in (0, 1):
+            p = at[i, s]
+            low, high = (found[i, s, rank + 1 - below[f"{i} {s}"]] for rank in (math.floor(p), math.ceil(p)))
+            ends.append(low if low == high or p == math.floor(p) else (math.ceil(p) - p) * low + (p - math.floor(p)) * high)
+        out[columns[i]] = (ends[0], ends[1])
+    return out
+
+
 def iqr_outliers(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
     """Per numeric column: quartiles (linear interpolation), fences, rows outside and their share."""
-    quartiles = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns])
-    fences = quartiles.select(F.expr(_stack(columns, [f"`{c}`[0]" for c in columns], [f"`{c}`[1]" for c in columns], ["column", "q1", "q3"])))
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")).select("s.*")
-    low, high = F.col("q1") - k * (F.col("q3") - F.col("q1")), F.col("q3") + k * (F.col("q3") - F.col("q1"))
-    return (
-        long.join(F.broadcast(fences), "column")  # one row a column
-        .groupBy("column", "q1", "q3")
-        .agg(F.count("v").alias("n"), F.count(F.when((F.col("v") < low) | (F.col("v") > high), 1)).alias("n_outliers"))
-        .select("column", "q1", "q3", "n_outliers", (F.col("n_outliers") / F.col("n")).alias("share"))
-    )
+    found = quartiles(df, columns)
+    asked = []
+    for i, c in enumerate(columns):
+        v, (low, high) = F.col(f"`{c}`").cast("double"), (F.lit(q).cast("double") for q in found[c])
+        outside = (v < low - k * (high - low)) | (v > high + k * (high - low))
+        asked += [F.first(low).alias(f"low{i}"), F.first(high).alias(f"high{i}"), F.count(v).alias(f"n{i}"), F.count_if(outside).alias(f"out{i}")]
+    cells = [[f"{name}{i}" for i in range(len(columns))] for name in ("low", "high", "out", "n")]
+    long = df.agg(*asked).select(F.expr(_stack(columns, *cells, ["column", "q1", "q3", "n_outliers", "n"])))
+    return long.select("column", "q1", "q3", "n_outliers", (F.col("n_outliers") / F.nullif("n", F.lit(0))).alias("share"))
 
 
 def _stack(columns: list[str], *rest) -> str:
@@ -151,8 +190,6 @@ def best_stump(df: DataFrame, value: str, target: str) -> DataFrame:
 
     Values are counted first; the running sums go over distinct values, range by range.
     """
-    from pyspark.sql import Window
-
     counts = df.where(F.col(value).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(value).alias("v")).agg(
         F.sum(F.col(target).cast("long")).alias("p"), F.sum(1 - F.col(target).cast("long")).alias("q")
     )
@@ -178,12 +215,13 @@ def findings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or df.columns
     part = df.select(*columns)
     numeric = [c for c in numeric_columns(part)]
-    out = missing_findings(part).select(F.lit("missing").alias("kind"), "column", "severity", F.col("share").alias("value"))
+    profile = profile_columns(part).checkpoint()  # a row for each column; three kinds of findings read it
+    out = missing_findings(part, profile).select(F.lit("missing").alias("kind"), "column", "severity", F.col("share").alias("value"))
     dup = duplicate_rows(part).where("n_duplicates > 0")
     severity = F.when(F.col("share") >= 0.2, "critical").when(F.col("share") >= 0.01, "warning").otherwise("info")
     out = out.unionByName(dup.select(F.lit("duplicates").alias("kind"), F.lit(None).cast("string").alias("column"), severity.alias("severity"), F.col("share").alias("value")))
-    out = out.unionByName(constant_findings(part).select("kind", "column", F.lit("warning").alias("severity"), F.col("top_share").alias("value")))
-    out = out.unionByName(cardinality_findings(part).select("kind", "column", F.lit("info").alias("severity"), F.col("unique_ratio").alias("value")))
+    out = out.unionByName(constant_findings(part, profile=profile).select("kind", "column", F.lit("warning").alias("severity"), F.col("top_share").alias("value")))
+    out = out.unionByName(cardinality_findings(part, profile=profile).select("kind", "column", F.lit("info").alias("severity"), F.col("unique_ratio").alias("value")))
     if numeric:
         o = iqr_outliers(part, numeric).where("share > 0.05")
         out = out.unionByName(o.select(F.lit("outliers").alias("kind"), "column", F.lit("warning").alias("severity"), F.col("share").alias("value")))
